@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -94,7 +94,7 @@ def chi_square_upper(x: float, df: float) -> float:
     return front * result
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(x) or pd.isna(n) or n <= 0 else t_two_sided(x, n) for x, n in zip(t, df)],
@@ -102,21 +102,21 @@ def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_critical(p: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(n) or n <= 0 else t_quantile(q, n) for q, n in zip(p, df)], dtype="float64"
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided_p(z: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2.0)) for x in z], dtype="float64"
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_upper_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(v) or pd.isna(n) or n <= 0 else chi_square_upper(v, n) for v, n in zip(x, df)],

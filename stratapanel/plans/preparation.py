@@ -33,14 +33,13 @@ def year_wide(spark: SparkSession, sf: str, value: str = "withdrawals") -> DataF
     return reshape.to_wide(stored, ["entity"], "label", labels, value)
 
 
-@query("panel_build", PANEL_SQL + "SELECT entity, year::BIGINT AS year, round(withdrawals, 4) AS withdrawals, round(stress, 4) AS stress, "
-       "round(productivity, 4) AS productivity, round(agriculture, 4) AS agriculture, round(population, 4) AS population, round(gdppc, 4) AS gdppc FROM panel")
+@query("panel_build", PANEL_SQL + "SELECT entity, year::BIGINT AS year, withdrawals, stress, productivity, agriculture, population, gdppc FROM panel")
 def panel_build(spark, sf):
     from stratapanel.plans.panel import build_panel
 
     names = ["withdrawals", "stress", "productivity", "agriculture", "population", "gdppc"]
     return build_panel(spark, sf).select(
-        "entity", F.col("year").cast("long").alias("year"), *[F.round(n, 4).alias(n) for n in names]
+        "entity", F.col("year").cast("long").alias("year"), *names
     )
 
 
@@ -92,11 +91,11 @@ def tagged_union(spark, sf):
     return reshape.tagged_union(frames)
 
 
-@query("complete_cases", PANEL_SQL + """SELECT entity, year::BIGINT AS year, round(withdrawals, 4) AS withdrawals, round(productivity, 4) AS productivity
+@query("complete_cases", PANEL_SQL + """SELECT entity, year::BIGINT AS year, withdrawals, productivity
   FROM panel WHERE withdrawals IS NOT NULL AND productivity IS NOT NULL""")
 def complete_cases(spark, sf):
     rows = relations.complete_cases(panel(spark, sf).select("entity", "year", "withdrawals", "productivity"))
-    return rows.select("entity", F.col("year").cast("long").alias("year"), F.round("withdrawals", 4).alias("withdrawals"), F.round("productivity", 4).alias("productivity"))
+    return rows.select("entity", F.col("year").cast("long").alias("year"), "withdrawals", "productivity")
 
 
 @query("distinct_entities", PANEL_SQL + "SELECT DISTINCT entity, region FROM panel JOIN info USING (entity)")
@@ -132,13 +131,12 @@ def inner_merge(spark, sf):
     return merged.select("entity", "region", "snapshot", F.round("stress", 4).alias("stress"))
 
 
-@query("multi_join_panel", PANEL_SQL + """SELECT entity, year::BIGINT AS year, round(population, 4) AS population, round(withdrawals, 4) AS withdrawals,
-  round(stress, 4) AS stress, round(gdppc, 4) AS gdppc, round(productivity, 4) AS productivity FROM panel""")
+@query("multi_join_panel", PANEL_SQL + """SELECT entity, year::BIGINT AS year, population, withdrawals, stress, gdppc, productivity FROM panel""")
 def multi_join_panel(spark, sf):
     names = ["population", "withdrawals", "stress", "gdppc", "productivity"]
     # Five long frames meet on (entity, year) in one grouped pivot instead of a chain of joins.
     wide = reshape.to_wide(long_panel(spark, sf, names), ["entity", "year"], "indicator", names, "value")
-    return wide.select("entity", F.col("year").cast("long").alias("year"), *[F.round(n, 4).alias(n) for n in names])
+    return wide.select("entity", F.col("year").cast("long").alias("year"), *names)
 
 
 @query("fold_left_join", PANEL_SQL + """SELECT entity, round(w, 4) AS withdrawals, round(s, 4) AS late_stress, round(p, 4) AS early_gdppc
@@ -214,9 +212,9 @@ def nonnull_retention(spark, sf):
     return audit.select("indicator", "non_null_before", "non_null_after", F.col("non_null_retained_pct").alias("retained_pct"))
 
 
-@query("threshold_filter", KEPT_SQL + "SELECT entity, year::BIGINT AS year, indicator, round(value, 4) AS value FROM kept")
+@query("threshold_filter", KEPT_SQL + "SELECT entity, year::BIGINT AS year, indicator, value FROM kept")
 def threshold_filter(spark, sf):
-    return kept(spark, sf).select("entity", F.col("year").cast("long").alias("year"), "indicator", F.round("value", 4).alias("value"))
+    return kept(spark, sf).select("entity", F.col("year").cast("long").alias("year"), "indicator", "value")
 
 
 @query("impute_category_regression", PANEL_SQL + """, s AS (SELECT entity, region, stress FROM panel LEFT JOIN info USING (entity) WHERE year = 2000)
@@ -240,26 +238,26 @@ def _indicator(spark, sf, name):
     return panel(spark, sf).select("entity", "year", F.col(name).alias("value"))
 
 
-def _rounded_cells(df, out):
-    return df.select("entity", F.col("year").cast("long").alias("year"), F.round("value", 3).alias(out))
+def _cells(df, out):
+    return df.select("entity", F.col("year").cast("long").alias("year"), F.col("value").alias(out))
 
 
-@query("derived_product", PANEL_SQL + "SELECT entity, year::BIGINT AS year, round(productivity * withdrawals, 3) AS gdp_usd FROM panel")
+@query("derived_product", PANEL_SQL + "SELECT entity, year::BIGINT AS year, productivity * withdrawals AS gdp_usd FROM panel")
 def derived_product(spark, sf):
     both = derive.combine(_indicator(spark, sf, "productivity"), _indicator(spark, sf, "withdrawals"), derive.product)
-    return _rounded_cells(both, "gdp_usd")
+    return _cells(both, "gdp_usd")
 
 
-@query("derived_ratio", PANEL_SQL + "SELECT entity, year::BIGINT AS year, round(withdrawals / nullif(stress, 0) * 100, 3) AS available_resources FROM panel")
+@query("derived_ratio", PANEL_SQL + "SELECT entity, year::BIGINT AS year, withdrawals / nullif(stress, 0) * 100 AS available_resources FROM panel")
 def derived_ratio(spark, sf):
     both = derive.combine(_indicator(spark, sf, "withdrawals"), _indicator(spark, sf, "stress"), derive.ratio_percent)
-    return _rounded_cells(both, "available_resources")
+    return _cells(both, "available_resources")
 
 
-@query("derived_total", PANEL_SQL + "SELECT entity, year::BIGINT AS year, round(gdppc * stress, 3) AS gdp_ppp FROM panel")
+@query("derived_total", PANEL_SQL + "SELECT entity, year::BIGINT AS year, gdppc * stress AS gdp_ppp FROM panel")
 def derived_total(spark, sf):
     both = derive.combine(_indicator(spark, sf, "gdppc"), _indicator(spark, sf, "stress"), derive.product)
-    return _rounded_cells(both, "gdp_ppp")
+    return _cells(both, "gdp_ppp")
 
 
 @query("growth_label", PANEL_SQL + """, e AS (SELECT entity, max(CASE WHEN year = 1995 THEN population END) AS a, max(CASE WHEN year = 2000 THEN population END) AS b FROM panel GROUP BY 1)
