@@ -115,10 +115,13 @@ def tune(df: DataFrame, model: str, features: Sequence[str], key: str, tuning: T
     """
     spark = df.sparkSession
     sets = draw_parameters(model, len(features), tuning.draws, tuning.seed)
+    schema = "model string, draw int, params string, f1 double"
+    if len(sets) == 1:
+        return sets[0], spark.createDataFrame([(model, 0, str(sets[0]), None)], schema)
     base = with_target(df)
     for r in range(tuning.repeats):
         base = stratified_folds(base, key, "label", tuning.folds, tuning.seed + 1000 * (r + 1), f"fold{r}")
-    base = base.persist()
+    base = materialize(base, "folds")
 
     def score(draw: int) -> tuple[int, float]:
         parts = None
@@ -131,16 +134,11 @@ def tune(df: DataFrame, model: str, features: Sequence[str], key: str, tuning: T
         f1 = F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
         return draw, parts.agg(F.avg(F.coalesce(f1, F.lit(0.0)))).first()[0]
 
-    try:
-        if len(sets) == 1:
-            return sets[0], spark.createDataFrame([(model, 0, str(sets[0]), None)], "model string, draw int, params string, f1 double")
-        with ThreadPoolExecutor(tuning.parallel) as pool:
-            scored = dict(pool.map(score, range(len(sets))))
-    finally:
-        base.unpersist()
+    with ThreadPoolExecutor(tuning.parallel) as pool:
+        scored = dict(pool.map(score, range(len(sets))))
     best = max(scored, key=lambda i: (scored[i], -i))
     table = [(model, i, str(sets[i]), float(scored[i])) for i in sorted(scored)]
-    return sets[best], spark.createDataFrame(table, "model string, draw int, params string, f1 double")
+    return sets[best], spark.createDataFrame(table, schema)
 
 
 def nested_predictions(df: DataFrame, features: Sequence[str], key: str, tuning: Tuning, outer: int = 5) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from stratapanel.session import materialize
 
+# Graphs up to this many edges are solved in memory; their size is checked before they are read.
+SMALL_GRAPH = 200_000
+
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, component)`` with the smallest node id of each component.
@@ -14,8 +17,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     shrink fast; a round lowers some label or is the last one. Every round is written out, which
     keeps the plan short and survives lost executors.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(both.where(F.col("a") != F.col("b")).distinct(), "edges")
+    edges = materialize(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct(), "edges")
+    few = edges.limit(SMALL_GRAPH + 1).count()
+    if few <= SMALL_GRAPH:
+        return _small_graph(nodes, edges)
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = materialize(both.distinct(), "edges")
     labels = materialize(nodes.select("node", F.col("node").alias("component")), "labels")
     while True:
         near = (
@@ -38,3 +45,22 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = updated.select("node", "component")
         if updated.where("changed").isEmpty():
             return labels
+
+
+def _small_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Union-find over a checked, small edge list; nodes without edges keep their own id."""
+    parent: dict[int, int] = {}
+
+    def root(node: int) -> int:
+        while parent.setdefault(node, node) != node:
+            parent[node] = parent[parent[node]]
+            node = parent[node]
+        return node
+
+    for a, b in edges.collect():
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    schema = "node long, component long"
+    found = edges.sparkSession.createDataFrame([(node, root(node)) for node in list(parent)], schema)
+    joined = nodes.select("node").join(found, "node", "left")
+    return materialize(joined.select("node", F.coalesce("component", "node").alias("component")), "labels")

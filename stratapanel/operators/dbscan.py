@@ -101,29 +101,33 @@ def _near_cells_by_descent(cells: DataFrame, d: int, eps: float) -> DataFrame:
     return pairs.select(*[F.zip_with(c, back, lambda x, y: x + y).alias(c) for c in ("a", "b")])
 
 
-def _dense_links(points: DataFrame, dense: DataFrame, near: DataFrame, d: int, side: float, eps: float) -> DataFrame:
-    """Pairs of dense cells that hold two points within eps of each other.
-
-    Boxes entirely within eps settle a pair, boxes further apart drop out, the rest is split in
-    half per dimension. A box of one distinct point is always settled, so the splitting ends.
-    """
+def _dense_pairs(dense: DataFrame, near: DataFrame, d: int, eps: float) -> DataFrame:
+    """Near pairs of dense cells; ``sure`` where the boxes lie within eps as a whole."""
     pairs = (
         near.join(_side(dense, "a", "first"), "a")
         .join(_side(dense, "b", "first"), "b")
         .where(F.col("a_first") < F.col("b_first"))
     )
-    tested = materialize(
-        pairs.select("a", "b", F.col("a").alias("sa"), F.col("b").alias("sb"), (_reach(d) <= eps).alias("sure")), "dense"
-    )
-    links, level = tested.where("sure").select("a", "b").distinct(), 0
-    open_pairs = tested.where("NOT sure").select("a", "b", "sa", "sb")
+    return pairs.select("a", "b", "a_first", "b_first", (_reach(d) <= eps).alias("sure"))
+
+
+def _open_links(points: DataFrame, pairs: DataFrame, d: int, side: float, eps: float) -> DataFrame:
+    """Those of the pairs of dense cells that hold two points within eps of each other.
+
+    Both cells are split in half per dimension: parts entirely within eps settle a pair, parts
+    further apart drop out, the rest is split again. A part of one distinct point is always
+    settled, so the splitting ends.
+    """
+    names = pairs.select("a", "b", "a_first", "b_first")
+    links, level = names.where("false").select("a", "b"), 0
+    open_pairs = pairs.select("a", "b", F.col("a").alias("sa"), F.col("b").alias("sb"))
+    wanted = pairs.select(F.col("a").alias("cell")).union(pairs.select("b")).distinct()
+    inside = materialize(points.join(wanted, "cell", "left_semi"), "points")
     while not open_pairs.isEmpty():
         level += 1
-        wanted = open_pairs.select(F.col("a").alias("cell")).union(open_pairs.select("b")).distinct()
         finer = F.array(*[F.floor(F.col("x")[i] / side * float(2**level)).cast("long") for i in range(d)])
         parts = (
-            points.join(wanted, "cell", "left_semi")
-            .groupBy("cell", finer.alias("sub"))
+            inside.groupBy("cell", finer.alias("sub"))
             .agg(*_box(d))
             .withColumn("up", F.transform("sub", lambda v: F.shiftright(v, 1)))
         )
@@ -136,12 +140,28 @@ def _dense_links(points: DataFrame, dense: DataFrame, near: DataFrame, d: int, s
         found = tested.where("sure").select("a", "b").distinct()
         links = links.union(found)
         open_pairs = tested.where("NOT sure").join(found, ["a", "b"], "left_anti").select("a", "b", "sa", "sb")
-    names = dense.select("cell", "first")
-    return (
-        links.join(names.withColumnsRenamed({"cell": "a", "first": "fa"}), "a")
-        .join(names.withColumnsRenamed({"cell": "b", "first": "fb"}), "b")
-        .select(F.col("fa").alias("a"), F.col("fb").alias("b"))
-    )
+    return names.join(links, ["a", "b"], "left_semi").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+
+
+def _core_components(
+    points: DataFrame, nodes: DataFrame, edges: DataFrame, pairs: DataFrame, d: int, side: float, eps: float
+) -> DataFrame:
+    """Components of core units. Sure links come first; a pair of dense cells they have not yet
+    brought together is then tested in detail."""
+    sure = pairs.where("sure").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    labels = connected_components(nodes, edges.unionByName(sure))
+    ends = [labels.select(F.col("node").alias(f"{s}_first"), F.col("component").alias(f"{s}_in")) for s in "ab"]
+    apart = pairs.where("NOT sure").join(ends[0], "a_first").join(ends[1], "b_first").where("a_in <> b_in")
+    apart = materialize(apart, "apart")
+    if apart.isEmpty():
+        return labels
+    # One detailed test is enough for two components, but which cells meet is not known: test all.
+    extra = _open_links(points, apart.select("a", "b", "a_first", "b_first"), d, side, eps)
+    heads = labels.select(F.col("component").alias("node")).distinct()
+    renamed = extra.withColumnsRenamed({"a": "a_first", "b": "b_first"}).join(ends[0], "a_first").join(ends[1], "b_first")
+    merged = connected_components(heads, renamed.select(F.col("a_in").alias("a"), F.col("b_in").alias("b")))
+    final = merged.select(F.col("node").alias("component"), F.col("component").alias("final"))
+    return materialize(labels.join(final, "component").select("node", F.col("final").alias("component")), "labels")
 
 
 def _numbered(components: DataFrame) -> DataFrame:
@@ -195,11 +215,10 @@ def dbscan(points: DataFrame, key: str, dims: Sequence[str], eps: float, min_pts
         to_core = from_core.where("dense").unionByName(
             from_core.where("NOT dense").join(cores.select(F.col("p").alias("unit")), "unit", "left_semi")
         )
-        edges = to_core.select(F.col("p").alias("a"), F.col("unit").alias("b")).unionByName(
-            _dense_links(pts, dense, near, d, side, eps)
-        )
+        edges = to_core.select(F.col("p").alias("a"), F.col("unit").alias("b"))
         nodes = dense.select(F.col("first").alias("node")).union(cores.select(F.col("p").alias("node")))
-        components = connected_components(nodes, edges)
+        pairs = materialize(_dense_pairs(dense, near, d, eps), "dense")
+        components = _core_components(pts, nodes, edges, pairs, d, side, eps)
         border = (
             hits.join(cores, "p", "left_anti")
             .join(components.withColumnRenamed("node", "unit"), "unit")

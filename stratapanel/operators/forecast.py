@@ -39,7 +39,7 @@ def future_periods(last: DataFrame, column: str, n: int, every: str = "1 year")
     """The ``n`` periods after a date, as rows."""
     step = F.expr(f"interval {every}")
     days = F.sequence(F.col(column) + step, F.col(column) + step * n, step)
-    return last.withColumn("ds", F.explode(days).cast("date"))
+    return last.withColumn("ds", F.explode(F.transform(days, lambda day: day.cast("date"))))
 
 
 def rolling_trend(series: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stratapanel.operators.features import assembled
 from stratapanel.operators.scores import silhouette_squared
+from stratapanel.session import materialize
 
 
 def kmeans_restarts(df: DataFrame, dims: Sequence[str], k: int, starts: int = 25, seed: int = 123) -> KMeansModel:
     """Best of several fits by within-cluster sum of squares."""
-    vectors = assembled(df.dropna(subset=list(dims)), dims).select("features").persist()
+    rows = materialize(df.select(*dims).dropna(), "points")
+    vectors = assembled(rows, dims).select("features").persist()
     try:
         best = None
         for start in range(starts):

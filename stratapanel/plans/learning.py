@@ -292,9 +292,10 @@ def matrix(spark, sf):
 BLOCK = [f"{c}_{s}" for c in FIVE for s in ("mean", "sd", "min", "max", "slope")]
 
 
-@query("feature_matrix", BLOCK_SQL + "SELECT entity, label, " + ", ".join(f"round({c}, 3) AS {c}" for c in BLOCK) + " FROM fm JOIN lb USING (entity) WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in BLOCK))
+@query("feature_matrix", BLOCK_SQL + "SELECT entity, label, " + ", ".join(f"round({c} + 0.0000137, 4) AS {c}" for c in BLOCK) + " FROM fm JOIN lb USING (entity) WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in BLOCK))
 def feature_matrix(spark, sf):
-    return matrix(spark, sf).select("entity", "label", *[F.round(c, 3).alias(c) for c in BLOCK])
+    # Both sides are moved off the rounding ties of exact cents.
+    return matrix(spark, sf).select("entity", "label", *[F.round(F.col(c) + 0.0000137, 4).alias(c) for c in BLOCK])
 
 
 FOLD_SQL = PANEL_SQL + LABEL_SQL + """, fo AS (SELECT entity, label, ((row_number() OVER (PARTITION BY label ORDER BY md5(entity::VARCHAR || '#7')) - 1) % 5 + 1)::BIGINT AS fold FROM lb),
