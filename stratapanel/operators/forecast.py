@@ -294,11 +294,14 @@ def changepoint_trend(
         at = t[np.round(np.linspace(0, inside - 1, count + 1)).astype(int)][1:] if count else np.zeros(0)
         design = np.column_stack([np.ones_like(t), t, *[np.maximum(t - c, 0.0) for c in at]])
         x = design[:n]
-        change, sigma2 = np.full(count, prior), max(float(np.var(y)), 1e-12)
-        for _ in range(60):
-            penalty = np.diag([1 / 25.0, 1 / 25.0, *(1 / (prior * (np.abs(change) + 1e-8)))])
+        # Start from the free fit; the smoothing of |change| is lowered step by step.
+        beta = np.linalg.lstsq(x, y, rcond=None)[0]
+        for step in range(80):
+            change, smooth = np.abs(beta[2:]), max(0.7**step, 1e-7)
+            sigma2 = max(float(np.mean((y - x @ beta) ** 2)), 1e-8)
+            penalty = np.diag([1 / 25.0, 1 / 25.0, *(1 / (prior * (change + smooth)))])
             beta = np.linalg.solve(x.T @ x / sigma2 + penalty, x.T @ y / sigma2)
-            change, sigma2 = beta[2:], max(float(np.mean((y - x @ beta) ** 2)), 1e-12)
+        change, sigma2 = beta[2:], max(float(np.mean((y - x @ beta) ** 2)), 1e-8)
         yhat, band = design @ beta * size, Z_900 * math.sqrt(sigma2) * size
         out = pd.DataFrame({"ds": everything.date, "fitted": np.arange(len(days)) < n, "yhat": yhat})
         out["yhat_lower"], out["yhat_upper"] = out["yhat"] - band, out["yhat"] + band
