@@ -121,7 +121,7 @@ def tune(df: DataFrame, model: str, features: Sequence[str], key: str, tuning: T
     base = with_target(df)
     for r in range(tuning.repeats):
         base = stratified_folds(base, key, "label", tuning.folds, tuning.seed + 1000 * (r + 1), f"fold{r}")
-    base = materialize(base, "folds")
+    base = materialize(base, "folds", rebalance=True)
 
     def score(draw: int) -> tuple[int, float]:
         parts = None
@@ -144,7 +144,7 @@ def tune(df: DataFrame, model: str, features: Sequence[str], key: str, tuning: T
 def nested_predictions(df: DataFrame, features: Sequence[str], key: str, tuning: Tuning, outer: int = 5) -> DataFrame:
     """Out-of-fold predictions ``(fold, model, key, truth, pred, prob)`` of tuned models and of the
     random baseline."""
-    folded = materialize(with_target(stratified_folds(df, key, "label", outer, tuning.seed)), "folds")
+    folded = materialize(with_target(stratified_folds(df, key, "label", outer, tuning.seed)), "folds", rebalance=True)
     baseline = random_baseline(folded, key, tuning.seed).select(
         "fold", F.lit("RandomBaseline").alias("model"), key, F.col("label").alias("truth"), "pred", F.lit(None).cast("double").alias("prob")
     )

@@ -114,7 +114,7 @@ def _dense_pairs(dense: DataFrame, near: DataFrame, d: int, eps: float) -> DataF
 def _open_links(points: DataFrame, pairs: DataFrame, d: int, side: float, eps: float) -> DataFrame:
     """Those of the pairs of dense cells that hold two points within eps of each other.
 
-    Both cells are split in half per dimension: parts entirely within eps settle a pair, parts
+    Both cells are split in quarters per dimension: parts entirely within eps settle a pair, parts
     further apart drop out, the rest is split again. A part of one distinct point is always
     settled, so the splitting ends.
     """
@@ -124,12 +124,12 @@ def _open_links(points: DataFrame, pairs: DataFrame, d: int, side: float, eps: f
     wanted = pairs.select(F.col("a").alias("cell")).union(pairs.select("b")).distinct()
     inside = materialize(points.join(wanted, "cell", "left_semi"), "points")
     while not open_pairs.isEmpty():
-        level += 1
+        level += 2
         finer = F.array(*[F.floor(F.col("x")[i] / side * float(2**level)).cast("long") for i in range(d)])
         parts = (
             inside.groupBy("cell", finer.alias("sub"))
             .agg(*_box(d))
-            .withColumn("up", F.transform("sub", lambda v: F.shiftright(v, 1)))
+            .withColumn("up", F.transform("sub", lambda v: F.shiftright(v, 2)))
         )
         left = parts.select(*[F.col(c).alias(n) for c, n in (("cell", "a"), ("up", "sa"), ("sub", "na"), ("lo", "a_lo"), ("hi", "a_hi"))])
         right = parts.select(*[F.col(c).alias(n) for c, n in (("cell", "b"), ("up", "sb"), ("sub", "nb"), ("lo", "b_lo"), ("hi", "b_hi"))])

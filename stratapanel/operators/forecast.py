@@ -20,6 +20,7 @@ from stratapanel.functions.columns import (
     root_mean_square_error,
 )
 from stratapanel.operators.series import by_time, full_matrix, gram, lag_of
+from stratapanel.session import materialize
 
 # 5 % point of the level-stationarity test, and normal points of the bands.
 KPSS_5PCT = 0.463
@@ -212,7 +213,8 @@ def arima_forecast(
     long autoregression stand in for the shocks of the ARMA regression.
     """
     keys = list(keys)
-    clean = series.where(F.col("value").isNotNull()).select(*keys, "t", "value")
+    # One row per period: small next to the facts, and read by several passes.
+    clean = materialize(series.where(F.col("value").isNotNull()).select(*keys, "t", "value"), "series")
     orders = difference_order(clean, keys)
     whole = Window.partitionBy(*keys)
     scale = F.greatest(F.max(F.abs("value")).over(whole), F.lit(1e-300))
@@ -233,7 +235,7 @@ def arima_forecast(
     fit = F.col("__beta")[0] + sum(F.col("__beta")[k] * F.col(f"__f{k}") for k in range(1, long_ar + 1))
     rows = rows.withColumn("e", F.col("w") - fit)
     shocks = {f"__e{k}": lag_of("e", k, keys) for k in range(1, most_ma + 1)}
-    rows = rows.withColumns(shocks)
+    rows = materialize(rows.withColumns(shocks), "lags")
 
     columns = [F.col("w"), F.lit(1.0)]
     columns += [F.col(f"__w{k}") for k in range(1, most_ar + 1)]

@@ -255,10 +255,12 @@ def rank_configurations(
     """Finite scores and 2..4 clusters, composite of the rescaled scores, balanced ones, best first.
 
     Rescaling happens before the balance filter, so it depends on rows that are dropped later.
+    The scored rows are few and read twice, so they are written out once.
     """
     clean = results.where(
         is_finite("silhouette") & is_finite("db_index") & F.col("num_clusters").between(least, most)
     )
+    clean = materialize(clean, "scored")
     norm = clean.withColumns({"sil_norm": F.col("silhouette"), "dbi_norm": F.col("db_index")})
     norm = rescale(norm, ["sil_norm", "dbi_norm"])
     composite = 0.5 * F.col("sil_norm") + 0.5 * (1 - F.col("dbi_norm"))

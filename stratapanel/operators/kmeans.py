@@ -16,7 +16,7 @@ from stratapanel.session import materialize
 
 def kmeans_restarts(df: DataFrame, dims: Sequence[str], k: int, starts: int = 25, seed: int = 123) -> KMeansModel:
     """Best of several fits by within-cluster sum of squares."""
-    rows = materialize(df.select(*dims).dropna(), "points")
+    rows = materialize(df.select(*dims).dropna(), "points", rebalance=True)
     vectors = assembled(rows, dims).select("features").persist()
     try:
         best = None

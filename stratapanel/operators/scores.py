@@ -57,18 +57,26 @@ def silhouette_squared(
     sums = cluster_sums(rows, by, label, dims)
     packed = sums.groupBy(*by).agg(F.collect_list(F.struct(F.col(label).alias("l"), "n", "s", "q")).alias("__c"))
     joined = _join(rows.select(*by, label, *dims, _square(dims).alias("__x2")), packed, by)
-    distances = F.transform(
+    x2, own_label = F.col("__x2"), F.col(label)
+
+    def mean_square(c: Column) -> Column:
+        return F.greatest(x2 + (c["q"] - 2 * _dot(dims, c["s"])) / c["n"], F.lit(0.0))
+
+    # One walk over the clusters: size and distance of the own one, least distance of the others.
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(0).cast("long").alias("n"), none.alias("own"), none.alias("b"))
+    walk = F.aggregate(
         "__c",
-        lambda c: F.struct(
-            c["l"].alias("l"),
-            c["n"].alias("n"),
-            F.greatest(F.col("__x2") + (c["q"] - 2 * _dot(dims, c["s"])) / c["n"], F.lit(0.0)).alias("d"),
+        start,
+        lambda acc, c: F.when(
+            c["l"] == own_label, F.struct(c["n"].alias("n"), mean_square(c).alias("own"), acc["b"].alias("b"))
+        ).otherwise(
+            F.struct(acc["n"].alias("n"), acc["own"].alias("own"), F.least(acc["b"], mean_square(c)).alias("b"))
         ),
     )
-    joined = joined.withColumn("__d", distances)
-    own = F.filter("__d", lambda c: c["l"] == F.col(label))[0]
-    other = F.array_min(F.transform(F.filter("__d", lambda c: c["l"] != F.col(label)), lambda c: c["d"]))
-    joined = joined.select(*by, own["n"].alias("__n"), own["d"].alias("__own"), other.alias("__b"))
+    joined = joined.withColumn("__w", walk).select(
+        *by, F.col("__w.n").alias("__n"), F.col("__w.own").alias("__own"), F.col("__w.b").alias("__b")
+    )
     a = F.try_divide(F.col("__own") * F.col("__n"), F.col("__n") - 1)
     width = F.when(F.col("__b").isNull(), F.lit(None).cast("double")).otherwise(
         F.when(F.col("__n") == 1, 0.0).otherwise(

@@ -10,6 +10,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.sql import DataFrame, functions as F
 
 from stratapanel.operators.features import assembled
+from stratapanel.session import materialize
 
 
 @dataclass(frozen=True)
@@ -26,7 +27,7 @@ def micro_clusters(df: DataFrame, dims: Sequence[str], most: int = 500, seed: in
     ``micro``.
     """
     dims = list(dims)
-    rows = df.select(*dims).dropna()
+    rows = materialize(df.select(*dims).dropna(), "points", rebalance=True)
     distinct = rows.groupBy(*dims).agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
     if len(distinct) <= most:
         distinct = sorted(distinct)

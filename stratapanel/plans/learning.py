@@ -12,6 +12,7 @@ from stratapanel.operators.dbscan import dbscan as density_clusters
 from stratapanel.operators.ward import ward as ward_clusters
 from stratapanel.plans.panel import INDICATORS, PANEL_SQL, info, panel, table
 from stratapanel.plans.registry import query
+from stratapanel.session import materialize
 
 MEANS_SQL = PANEL_SQL + ", m AS (SELECT entity, " + ", ".join(f"avg({c}) AS {c}" for c in INDICATORS) + " FROM panel GROUP BY 1)\n"
 
@@ -387,14 +388,12 @@ NESTED = classify.Tuning(draws=1, folds=2, repeats=1, seed=123, models=("GLMNET"
 
 @query("nested_cv")
 def nested_cv(spark, sf):
-    from stratapanel.session import materialize
-
     out = materialize(classify.nested_predictions(matrix(spark, sf), BLOCK, "entity", NESTED), "oof")
     return metrics.fold_summary(classify.fold_results(out), ["f1", "accuracy", "sensitivity", "specificity", "auc"])
 
 
 def _final_model(spark, sf):
-    rows = classify.with_target(matrix(spark, sf))
+    rows = materialize(classify.with_target(matrix(spark, sf)), "matrix", rebalance=True)
     return classify.pipeline("GLMNET", BLOCK, {"elasticNetParam": 0.5, "regParam": 0.01}).fit(rows), rows
 
 

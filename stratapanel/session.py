@@ -49,13 +49,14 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, label: str = "stage", rebalance: bool = False) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
     Used where a result feeds several consumers or an iteration: it cuts the lineage, survives
-    lost executors, and keeps column pruning and size statistics for the readers.
+    lost executors, and keeps column pruning and size statistics for the readers. ``rebalance``
+    makes files of even, full size, for data that an iterative fit reads many times.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/stratapanel/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if rebalance else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
