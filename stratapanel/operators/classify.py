@@ -68,8 +68,8 @@ def draw_parameters(model: str, n_features: int, draws: int, seed: int) -> list[
     return sets
 
 
-def pipeline(model: str, features: Sequence[str], params: dict, seed: int = 123) -> Pipeline:
-    """Scaling is a stage of the pipeline, so it is fitted on training rows only.
+def staged_model(model: str, features: Sequence[str], params: dict, seed: int = 123) -> Pipeline:
+    """Scaling is a stage of the model, so it is fitted on training rows only.
 
     Trees get features rescaled to [0, 1], the linear model centred and scaled ones.
     """
@@ -128,7 +128,7 @@ def tune(df: DataFrame, model: str, features: Sequence[str], key: str, tuning: T
         for r in range(tuning.repeats):
             for f in range(1, tuning.folds + 1):
                 train, test = base.where(F.col(f"fold{r}") != f), base.where(F.col(f"fold{r}") == f)
-                fitted = pipeline(model, features, sets[draw], tuning.seed).fit(train)
+                fitted = staged_model(model, features, sets[draw], tuning.seed).fit(train)
                 part = confusion(predictions(fitted, test, [])).withColumn("resample", F.lit(r * tuning.folds + f))
                 parts = part if parts is None else parts.unionByName(part)
         f1 = F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
@@ -153,7 +153,7 @@ def nested_predictions(df: DataFrame, features: Sequence[str], key: str, tuning:
         train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
         for model in tuning.models:
             best, _ = tune(train.drop("y", "fold"), model, features, key, tuning)
-            fitted = pipeline(model, features, best, tuning.seed).fit(train)
+            fitted = staged_model(model, features, best, tuning.seed).fit(train)
             scored = predictions(fitted, test, ["fold", key])
             parts.append(scored.select("fold", F.lit(model).alias("model"), key, "truth", "pred", "prob"))
     result = parts[0]

@@ -204,15 +204,10 @@ def _last(column: str, n: int) -> Column:
     return F.slice(values, F.greatest(F.size(values) - n + 1, F.lit(1)), n)
 
 
-def arima_forecast(
-    series: DataFrame, keys: Sequence[str], h: int, most_ar: int = 3, most_ma: int = 2, long_ar: int = 6
-) -> DataFrame:
-    """ARIMA with automatic order: differences by unit-root test, AR and MA orders by AICc.
-
-    Coefficients are the two-stage least squares of Hannan and Rissanen (1982): residuals of a
-    long autoregression stand in for the shocks of the ARMA regression.
-    """
-    keys = list(keys)
+def _arima_fit(
+    series: DataFrame, keys: Sequence[str], most_ar: int, most_ma: int, long_ar: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with their lags, and one model per series."""
     # One row per period: small next to the facts, and read by several passes.
     clean = materialize(series.where(F.col("value").isNotNull()).select(*keys, "t", "value"), "series")
     orders = difference_order(clean, keys)
@@ -242,7 +237,20 @@ def arima_forecast(
     columns += [F.col(f"__e{k}") for k in range(1, most_ma + 1)]
     second = gram(rows, [*keys, "d"], columns)
     models = second.select(*keys, "d", _arma_solver(most_ar, most_ma)("gram", "rows", "d").alias("model"))
+    return rows, models
+
+
+def arima_forecast(
+    series: DataFrame, keys: Sequence[str], h: int, most_ar: int = 3, most_ma: int = 2, long_ar: int = 6
+) -> DataFrame:
+    """ARIMA with automatic order: differences by unit-root test, AR and MA orders by AICc.
 
+    Coefficients are the two-stage least squares of Hannan and Rissanen (1982): residuals of a
+    long autoregression stand in for the shocks of the ARMA regression.
+    """
+    keys = list(keys)
+    rows, models = _arima_fit(series, keys, most_ar, most_ma, long_ar)
+    whole = Window.partitionBy(*keys)
     tail = rows.withColumn("__back", F.max("t").over(whole) - F.col("t")).where(F.col("__back") < most_ar + most_ma + 3)
     ends = tail.groupBy(*keys).agg(
         F.max("t").alias("last_t"),
@@ -267,6 +275,23 @@ def arima_forecast(
     )
 
 
+def arima_residuals(
+    series: DataFrame, keys: Sequence[str], most_ar: int = 3, most_ma: int = 2, long_ar: int = 6
+) -> DataFrame:
+    """One-step residuals of the chosen model, with the number of its AR and MA terms."""
+    keys = list(keys)
+    rows, models = _arima_fit(series, keys, most_ar, most_ma, long_ar)
+    joined = rows.join(models.drop("d"), keys)
+    fit = F.col("model.constant")
+    for name, count, lag in (("ar", most_ar, "__w"), ("ma", most_ma, "__e")):
+        for k in range(1, count + 1):
+            weight = F.get(F.col(f"model.{name}"), F.lit(k - 1))
+            fit = fit + F.when(weight.isNull(), F.lit(0.0)).otherwise(weight * F.col(f"{lag}{k}"))
+    residual = (F.col("w") - fit) * F.col("scale")
+    kept = joined.select(*keys, "t", residual.alias("value"), (F.col("model.p") + F.col("model.q")).alias("terms"))
+    return kept.where(F.col("value").isNotNull())
+
+
 def changepoint_trend(
     series: DataFrame, keys: Sequence[str], h: int, changepoints: int = 25, history: float = 0.8, prior: float = 0.05
 ) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stratapanel.functions.distributions import t_critical
 from stratapanel.operators.derive import RAPID
+from stratapanel.operators.inference import signed_rank
 from stratapanel.operators.ranks import running_counts
+from stratapanel.operators.reshape import to_wide
 
 
 def _count(condition: Column) -> Column:
@@ -74,3 +76,16 @@ def fold_intervals(results: DataFrame, metrics: Sequence[str], by: Sequence[str]
         half = F.col("__t") * F.col(f"__sd_{m}") / F.sqrt("n")
         out += [F.col(f"mean_{m}"), (F.col(f"mean_{m}") - half).alias(f"ci_{m}_l"), (F.col(f"mean_{m}") + half).alias(f"ci_{m}_u")]
     return base.select(*by, *out)
+
+
+def compare_models(results: DataFrame, metric: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Mean difference and signed-rank p-value over folds for each pair of models, in one job."""
+    names = sorted({name for pair in pairs for name in pair})
+    wide = to_wide(results.where(F.col("model").isin(names)), ["fold"], "model", names, metric)
+    entries = [
+        F.struct(F.lit(f"{a} vs {b}").alias("comparison"), F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs
+    ]
+    rows = wide.select(F.inline(F.array(*entries)))
+    means = rows.groupBy("comparison").agg(F.avg(F.col("a") - F.col("b")).alias("mean_diff"))
+    tests = signed_rank(rows, "a", "b", ["comparison"]).select("comparison", "p_value")
+    return means.join(tests, "comparison", "left")

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-MAX_BUCKETS = 256
+MAX_BUCKETS = 4096
 ROWS_PER_BUCKET = 100_000
+STRETCH = 64
 
 
 def value_cuts(df: DataFrame, value: str) -> list[float]:
@@ -30,15 +31,24 @@ def value_cuts(df: DataFrame, value: str) -> list[float]:
 
 
 def bucket_of(value: Column, cuts: Sequence[float]) -> Column:
-    """Number of cut points below the value, as a balanced tree of comparisons."""
+    """Number of cut points below the value: a balanced tree of comparisons, and for long lists a
+    tree over every 64th cut followed by a look into one short stretch of them."""
 
-    def tree(low: int, high: int) -> Column:
+    def tree(points: Sequence[float], low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
-        return F.when(value <= F.lit(cuts[middle]), tree(low, middle)).otherwise(tree(middle + 1, high))
+        return F.when(value <= F.lit(points[middle]), tree(points, low, middle)).otherwise(tree(points, middle + 1, high))
 
-    return tree(0, len(cuts))
+    if len(cuts) <= STRETCH:
+        return tree(cuts, 0, len(cuts))
+    coarse = cuts[STRETCH - 1 :: STRETCH]
+    stretches = [cuts[i : i + STRETCH] for i in range(0, len(cuts), STRETCH)]
+    stretches += [[]] * (len(coarse) + 1 - len(stretches))
+    table = F.array(*[F.array(*[F.lit(float(c)) for c in part]).cast("array<double>") for part in stretches])
+    block = tree(coarse, 0, len(coarse))
+    inside = F.size(F.filter(table[block], lambda cut: cut < value))
+    return block * STRETCH + inside
 
 
 def running_counts(
@@ -96,7 +106,7 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFram
     return ranked.select(*by, value, "n", (F.col("n_below") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def position_by_hash(df: DataFrame, hash_col: str, by: Sequence[str] = (), width: int = 2) -> DataFrame:
+def position_by_hash(df: DataFrame, hash_col: str, by: Sequence[str] = (), width: int = 3) -> DataFrame:
     """0-based ``position`` of each row in hex-hash order within its group.
 
     Hash prefixes are the buckets: they are even by construction, so no cut points are needed and

@@ -105,13 +105,14 @@ def partial_autocorrelation(series: DataFrame, keys: Sequence[str], max_lag: int
     return acf.select(*keys, "n", _durbin_levinson("acf").alias("pacf"))
 
 
-def ljung_box(series: DataFrame, keys: Sequence[str], lags: int, fitted: int = 0) -> DataFrame:
-    """Portmanteau statistic of the first ``lags`` autocorrelations, less ``fitted`` parameters."""
+def ljung_box(series: DataFrame, keys: Sequence[str], lags: int, fitted: Column | int = 0) -> DataFrame:
+    """Portmanteau statistic of the first ``lags`` autocorrelations. ``fitted`` parameters, a number
+    or an expression over the keys, reduce the degrees of freedom."""
     acf = autocorrelation(series, keys, lags)
     n = F.col("n").cast("double")
     terms = [F.col("acf")[k] * F.col("acf")[k] / (n - k) for k in range(1, lags + 1)]
     q = n * (n + 2) * sum(terms[1:], terms[0])
-    stats = acf.select(*keys, q.alias("q"), F.lit(lags - fitted).alias("df"))
+    stats = acf.select(*keys, q.alias("q"), (F.lit(lags) - fitted).alias("df"))
     return stats.withColumn("p_value", chi_square_upper_p(F.col("q"), F.col("df").cast("double")))
 
 

@@ -198,6 +198,43 @@ def arima_rolling(spark, sf):
     return forecast.rolling_metrics(scored, ["series"], 52, 69)
 
 
+SPLIT = "2000-12-01"
+
+
+def _holdout(spark, sf):
+    return series.split_at(nation_months(spark, sf), F.lit(SPLIT).cast("date"))
+
+
+@query("arima_holdout")
+def arima_holdout(spark, sf):
+    train, test = _holdout(spark, sf)
+    ahead = forecast.arima_forecast(train, ["series"], h=8).select("series", "t", F.col("mean").alias("predicted"))
+    return forecast.error_metrics(test.join(ahead, ["series", "t"]), ["series"], "value")
+
+
+@query("arima_residual_check")
+def arima_residual_check(spark, sf):
+    residuals = forecast.arima_residuals(nation_months(spark, sf), ["series"])
+    return series.ljung_box(residuals, ["series", "terms"], 10, fitted=F.col("terms"))
+
+
+@query("changepoint_holdout")
+def changepoint_holdout(spark, sf):
+    train, test = _holdout(spark, sf)
+    ahead = forecast.changepoint_trend(train.withColumnRenamed("period", "ds"), ["series"], h=8).where("NOT fitted")
+    scored = test.withColumnRenamed("period", "ds").join(ahead.select("series", "ds", F.col("yhat").alias("predicted")), ["series", "ds"])
+    return forecast.error_metrics(scored, ["series"], "value")
+
+
+@query("changepoint_rolling")
+def changepoint_rolling(spark, sf):
+    months = nation_months(spark, sf).withColumnRenamed("period", "ds")
+    history = series.explode_origins(months, 52, 69)
+    ahead = forecast.changepoint_trend(history, ["series", "origin"], h=1).where("NOT fitted")
+    scored = ahead.select("series", "ds", F.col("yhat").alias("predicted")).join(months, ["series", "ds"])
+    return forecast.rolling_metrics(scored, ["series"], 52, 69)
+
+
 @query("changepoint_trend")
 def changepoint_trend(spark, sf):
     rows = nation_months(spark, sf).withColumnRenamed("period", "ds")

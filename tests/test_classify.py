@@ -46,7 +46,7 @@ def test_f1_is_symmetric_and_null_without_positives(spark):
 
 
 def test_elastic_net_recovers_planted_coefficients(spark, planted, tmp_path):
-    fitted = classify.pipeline("GLMNET", list(BETA), {"elasticNetParam": 0.5, "regParam": 0.001}).fit(classify.with_target(planted))
+    fitted = classify.staged_model("GLMNET", list(BETA), {"elasticNetParam": 0.5, "regParam": 0.001}).fit(classify.with_target(planted))
     got = {r.feature: r for r in classify.coefficients(spark, fitted, list(BETA)).collect()}
     assert got["x0"].estimate == pytest.approx(2.0, abs=0.4) and got["x1"].estimate == pytest.approx(-1.5, abs=0.4)
     assert got["x0"].odds_ratio == pytest.approx(math.exp(got["x0"].estimate))
@@ -60,7 +60,7 @@ def test_elastic_net_recovers_planted_coefficients(spark, planted, tmp_path):
 
 def test_scaling_is_fitted_on_training_rows_only(planted):
     train, test = classify.with_target(planted).where("entity < 300"), classify.with_target(planted).where("entity >= 300")
-    fitted = classify.pipeline("RF", list(BETA), {"numTrees": 3}).fit(train)
+    fitted = classify.staged_model("RF", list(BETA), {"numTrees": 3}).fit(train)
     low = train.agg(F.min("x0")).first()[0]
     assert fitted.stages[1].originalMin[0] == pytest.approx(low)
     assert classify.predictions(fitted, test, ["entity"]).count() == test.count()

@@ -67,3 +67,14 @@ def test_signed_rank_with_ties_and_zeros(spark, tiny_buckets):
     ties = sum(c**3 - c for c in np.unique(np.abs(d), return_counts=True)[1])
     z = (v - n * (n + 1) / 4 - 0.5) / np.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
     assert (got.v, got.n_pairs) == (v, n) and got.z == pytest.approx(z)
+
+
+def test_bucket_of_long_lists_of_cuts(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "STRETCH", 4)
+    rng = np.random.default_rng(7)
+    values = rng.integers(0, 40, 200).astype(float)
+    for n in (3, 4, 5, 8, 15, 30):
+        cuts = sorted(set(rng.choice(40, n, replace=False).astype(float)))
+        df = spark.createDataFrame([(float(v),) for v in values], "x double")
+        got = [r[0] for r in df.select(ranks.bucket_of(F.col("x"), cuts)).collect()]
+        assert got == [int(np.searchsorted(cuts, v, "left")) for v in values]

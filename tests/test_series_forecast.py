@@ -80,6 +80,15 @@ def test_arima_recovers_planted_models(spark, planted):
     assert by["stationary"][0].high - by["stationary"][0].low == pytest.approx(2 * 1.96, rel=0.15)
 
 
+def test_arima_residuals_are_white_for_planted_model(spark, planted):
+    df = paths(spark, stationary=planted["stationary"])
+    residuals = forecast.arima_residuals(df, ["s"])
+    row = residuals.agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.max("terms").alias("k")).first()
+    assert abs(row.m) < 0.1 and row.s == pytest.approx(1.0, abs=0.15) and row.k >= 1
+    check = series.ljung_box(residuals, ["s", "terms"], 10, fitted=F.col("terms")).first()
+    assert check.df == 10 - row.k and check.p_value > 0.01
+
+
 def test_arima_of_a_straight_line_and_of_a_constant(spark):
     rows = forecast.arima_forecast(paths(spark, line=np.arange(40.0) * 2 + 1, flat=[5.0] * 30), ["s"], h=2).collect()
     got = {(r.s, r.t): r.mean for r in rows}
