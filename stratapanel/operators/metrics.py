@@ -60,21 +60,21 @@ def error_rates(df: DataFrame, key: str, truth: str = "truth", pred: str = "pred
     return df.groupBy(key).agg(F.avg((F.col(truth) != F.col(pred)).cast("double")).alias("mis_rate"))
 
 
-def fold_summary(results: DataFrame, metrics: Sequence[str], by: str = "model") -> DataFrame:
-    columns = [f(m).alias(f"{name}_{m}") for m in metrics for name, f in (("mean", F.avg), ("sd", F.stddev_samp))]
-    return results.groupBy(by).agg(*columns)
+def fold_summary(results: DataFrame, metrics: Sequence[str], by: Sequence[str] = ("model",), level: float = 0.95) -> DataFrame:
+    """Mean, deviation and t interval of each metric over folds, by model.
 
-
-def fold_intervals(results: DataFrame, metrics: Sequence[str], by: Sequence[str] = (), level: float = 0.95) -> DataFrame:
-    """Mean and t interval over folds; the degrees of freedom count all folds."""
+    The degrees of freedom count all folds, as the number of folds is fixed by design.
+    """
     base = results.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(f"mean_{m}") for m in metrics], *[F.stddev_samp(m).alias(f"__sd_{m}") for m in metrics]
+        F.count(F.lit(1)).alias("__n"),
+        *[f(m).alias(f"{name}_{m}") for m in metrics for name, f in (("mean", F.avg), ("sd", F.stddev_samp))],
     )
-    base = base.withColumn("__t", t_critical(F.lit((1 + level) / 2), (F.col("n") - 1).cast("double")))
+    base = base.withColumn("__t", t_critical(F.lit((1 + level) / 2), (F.col("__n") - 1).cast("double")))
     out = []
     for m in metrics:
-        half = F.col("__t") * F.col(f"__sd_{m}") / F.sqrt("n")
-        out += [F.col(f"mean_{m}"), (F.col(f"mean_{m}") - half).alias(f"ci_{m}_l"), (F.col(f"mean_{m}") + half).alias(f"ci_{m}_u")]
+        half = F.col("__t") * F.col(f"sd_{m}") / F.sqrt("__n")
+        mean = F.col(f"mean_{m}")
+        out += [mean, F.col(f"sd_{m}"), (mean - half).alias(f"ci_{m}_l"), (mean + half).alias(f"ci_{m}_u")]
     return base.select(*by, *out)
 
 

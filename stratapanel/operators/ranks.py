@@ -26,7 +26,8 @@ def value_cuts(df: DataFrame, value: str) -> list[float]:
     cuts, n = df.agg(
         F.percentile_approx(F.col(value).cast("double"), probs, 10 * MAX_BUCKETS), F.count(value)
     ).first()
-    step = max(1, MAX_BUCKETS * ROWS_PER_BUCKET // max(n, 1))
+    # At least one cut: with a constant bucket the join on it would have no key left.
+    step = min(max(1, MAX_BUCKETS * ROWS_PER_BUCKET // max(n, 1)), MAX_BUCKETS // 2)
     return sorted(set((cuts or [])[step - 1 :: step]))
 
 

@@ -353,10 +353,8 @@ def roc_auc(spark, sf):
   round(avg(f1) - 2.7764451051977987 * stddev_samp(f1) / sqrt(count(*)), 6) AS ci_f1_l, round(avg(f1) + 2.7764451051977987 * stddev_samp(f1) / sqrt(count(*)), 6) AS ci_f1_u, 'RandomBaseline' AS model FROM fr""")
 def fold_summary(spark, sf):
     results = metrics.f1_accuracy(baseline(spark, sf), ["fold"]).withColumn("model", F.lit("RandomBaseline"))
-    table_ = metrics.fold_summary(results, ["f1", "accuracy"])
-    ci = metrics.fold_intervals(results, ["f1"], ["model"])
-    joined = table_.join(ci.select("model", "ci_f1_l", "ci_f1_u"), "model")
-    return joined.select("model", *[F.round(c, 7).alias(c) for c in ("mean_f1", "sd_f1", "mean_accuracy", "sd_accuracy")], F.round("ci_f1_l", 6).alias("ci_f1_l"), F.round("ci_f1_u", 6).alias("ci_f1_u"))
+    found = metrics.fold_summary(results, ["f1", "accuracy"])
+    return found.select("model", *[F.round(c, 7).alias(c) for c in ("mean_f1", "sd_f1", "mean_accuracy", "sd_accuracy")], F.round("ci_f1_l", 6).alias("ci_f1_l"), F.round("ci_f1_u", 6).alias("ci_f1_u"))
 
 
 COMPARE_SQL = PANEL_SQL + LABEL_SQL + """, fo AS (SELECT entity, label, ((row_number() OVER (PARTITION BY label ORDER BY md5(entity::VARCHAR || '#7')) - 1) % 5 + 1) AS fold FROM lb),

@@ -78,7 +78,7 @@ def test_tuning_and_nested_results(spark, planted):
     assert summary["GLMNET"].mean_f1 > 0.75 > summary["RandomBaseline"].mean_f1
     assert summary["GLMNET"].mean_auc > 0.85 and summary["RandomBaseline"].mean_auc is None
     assert classify.F1Evaluator().isLargerBetter()
-    wide_ci = metrics.fold_intervals(classify.fold_results(out).where("model = 'GLMNET'"), ["f1"]).first()
+    wide_ci = summary["GLMNET"]
     assert wide_ci.ci_f1_l < wide_ci.mean_f1 < wide_ci.ci_f1_u
 
 

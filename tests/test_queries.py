@@ -30,10 +30,15 @@ def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
 
 
-SCALAR_ONLY: set[str] = set()
-
-
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_plan_has_no_cross_join(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["group_year_mean", "entity_mean", "label_counts"])
+def test_scan_reads_only_the_needed_columns(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    panel_scan = next(line for line in plan.splitlines() if "FileScan parquet" in line and "entity" in line)
+    assert "ReadSchema" in panel_scan and "gdppc:double,industry" not in panel_scan
+    assert sum(f"{c}:double" in panel_scan for c in ("withdrawals", "productivity", "industry", "population")) <= 2
