@@ -1,7 +1,9 @@
 """Imputation by category and by group, and presence labels.
 
 The group means are aggregated first (partial sums before the shuffle) and joined back, instead of
-a window over the group: a window would bring a whole group into one task.
+a window over the group: a window would bring a whole group into one task. The means are written
+out, so that the planner knows their size and sends a small table to the rows, which then stay
+where they are; a large one is joined by shuffle with skewed groups split.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from stratapanel.operators.relations import join_null_safe
+from stratapanel.session import materialize
 
 
 def impute_by_category(df: DataFrame, value: str, category: str, out: str | None = None) -> DataFrame:
@@ -18,9 +21,8 @@ def impute_by_category(df: DataFrame, value: str, category: str, out: str | None
 
     A missing category has no prediction: plain equality leaves such rows as they are.
     """
-    means = (
-        df.where(F.col(category).isNotNull()).groupBy(category).agg(F.avg(value).alias("__mean"))
-    )
+    known = df.where(F.col(category).isNotNull())
+    means = materialize(known.groupBy(category).agg(F.avg(value).alias("__mean")), "means")
     return (
         df.join(means, category, "left")
         .withColumn(out or value, F.coalesce(F.col(value), F.col("__mean")))
@@ -30,7 +32,7 @@ def impute_by_category(df: DataFrame, value: str, category: str, out: str | None
 
 def impute_by_group(df: DataFrame, value: str, by: Sequence[str], out: str | None = None) -> DataFrame:
     """Fill missing values with the mean of their group; rows with a missing key form a group."""
-    means = df.groupBy(*by).agg(F.avg(value).alias("__mean"))
+    means = materialize(df.groupBy(*by).agg(F.avg(value).alias("__mean")), "means")
     return (
         join_null_safe(df, means, by)
         .withColumn(out or value, F.coalesce(F.col(value), F.col("__mean")))

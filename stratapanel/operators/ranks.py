@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 1024
 ROWS_PER_BUCKET = 100_000
 STRETCH = 64
 
@@ -22,10 +22,10 @@ def value_cuts(df: DataFrame, value: str) -> list[float]:
 
     They are literals of the later plan, so every branch of it sees the same buckets.
     """
-    probs = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    cuts, n = df.agg(
-        F.percentile_approx(F.col(value).cast("double"), probs, 10 * MAX_BUCKETS), F.count(value)
-    ).first()
+    # One SQL string is parsed much faster than a thousand literal columns are built.
+    probs = ", ".join(f"{i / MAX_BUCKETS!r}D" for i in range(1, MAX_BUCKETS))
+    sketch = F.expr(f"percentile_approx(cast(`{value}` as double), array({probs}), {10 * MAX_BUCKETS})")
+    cuts, n = df.agg(sketch, F.count(value)).first()
     # At least one cut: with a constant bucket the join on it would have no key left.
     step = min(max(1, MAX_BUCKETS * ROWS_PER_BUCKET // max(n, 1)), MAX_BUCKETS // 2)
     return sorted(set((cuts or [])[step - 1 :: step]))

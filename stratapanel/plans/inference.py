@@ -15,7 +15,7 @@ STRESS_SQL = PANEL_SQL + """, d AS (SELECT entity, region, snapshot AS x, s AS y
 
 def _stress_points(spark, sf):
     means = groupstats.group_means(panel(spark, sf), ["entity"], ["stress"]).withColumnRenamed("stress", "y")
-    points = relations.merge(info(spark, sf).select("entity", "region", F.col("snapshot").alias("x")), means, "entity")
+    points = relations.merge(info(spark, sf, "region", "snapshot").withColumnRenamed("snapshot", "x"), means, "entity")
     return points.dropna(subset=["x", "y"])
 
 
@@ -38,7 +38,7 @@ def pearson_test(spark, sf):
   round(avg(m) + 2.4469118511449692 * stddev_samp(m) / sqrt(count(*)), 5) AS ci_high, count(*) AS n
   FROM (SELECT region, year, avg(stress) AS m FROM panel JOIN info USING (entity) GROUP BY 1, 2) GROUP BY 1""")
 def mean_ci(spark, sf):
-    rows = relations.attach(panel(spark, sf).select("entity", "year", "stress"), info(spark, sf), "entity", ["region"])
+    rows = relations.attach(panel(spark, sf).select("entity", "year", "stress"), info(spark, sf, "region"), "entity")
     yearly = groupstats.group_means(rows, ["region", "year"], ["stress"])
     ci = inference.mean_interval(yearly, "stress", ["region"])
     return ci.select("region", *[F.round(c, 5).alias(c) for c in ("mean", "ci_low", "ci_high")], "n")
@@ -58,7 +58,7 @@ def signed_rank(spark, sf):
     wide = panel(spark, sf).groupBy("entity").agg(
         F.max(F.when(F.col("year") == 1996, stress)).alias("a"), F.max(F.when(F.col("year") == 2000, stress)).alias("b")
     )
-    rows = relations.merge(wide, info(spark, sf).select("entity", "income_group"), "entity")
+    rows = relations.merge(wide, info(spark, sf, "income_group"), "entity")
     test = inference.signed_rank(rows, "a", "b", ["income_group"])
     return test.select("income_group", F.round("v", 1).alias("v"), F.col("n_pairs").cast("long").alias("n_pairs"), F.round("z", 5).alias("z"), F.round("p_value", 6).alias("p_value"))
 

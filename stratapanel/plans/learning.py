@@ -194,7 +194,7 @@ def feature_subsets(spark, sf):
 
 def nine_features(spark, sf):
     base = groupstats.group_means(panel(spark, sf), ["entity"], INDICATORS)
-    return relations.merge(base, info(spark, sf).select("entity", "snapshot"), "entity").dropna()
+    return relations.merge(base, info(spark, sf, "snapshot"), "entity").dropna()
 
 
 @query("grid_search")

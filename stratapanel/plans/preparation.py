@@ -75,7 +75,7 @@ def snapshot_relabel(spark, sf):
 
 @query("snapshot_spread", "SELECT c_custkey AS entity, y.year::BIGINT AS year, c_acctbal AS value FROM customer CROSS JOIN (SELECT unnest(generate_series(1995, 2001)) AS year) y")
 def snapshot_spread(spark, sf):
-    snap = info(spark, sf).select("entity", F.col("snapshot").alias("value"))
+    snap = info(spark, sf, "snapshot").withColumnRenamed("snapshot", "value")
     return reshape.spread_snapshot(snap, 1995, 2001).select("entity", F.col("year").cast("long").alias("year"), "value")
 
 
@@ -100,7 +100,7 @@ def complete_cases(spark, sf):
 
 @query("distinct_entities", PANEL_SQL + "SELECT DISTINCT entity, region FROM panel JOIN info USING (entity)")
 def distinct_entities(spark, sf):
-    return relations.attach(panel(spark, sf).select("entity", "year"), info(spark, sf), "entity", ["region"]).select("entity", "region").distinct()
+    return relations.attach(panel(spark, sf).select("entity", "year"), info(spark, sf, "region"), "entity").select("entity", "region").distinct()
 
 
 @query("key_intersection", """SELECT o_custkey AS entity FROM orders WHERE o_orderstatus = 'F'
@@ -120,14 +120,14 @@ def semi_filter(spark, sf):
   coalesce(region, 'Unknown') AS region, coalesce(income_group, 'Unknown') AS income_group FROM panel LEFT JOIN info USING (entity)""")
 def dimension_left_join(spark, sf):
     rows = panel(spark, sf).select("entity", F.col("year").cast("long").alias("year"), F.round("stress", 4).alias("stress"))
-    return relations.attach(rows, info(spark, sf), "entity", ["region", "income_group"], fill="Unknown")
+    return relations.attach(rows, info(spark, sf, "region", "income_group"), "entity", fill="Unknown")
 
 
 @query("inner_merge", PANEL_SQL + """SELECT entity, region, snapshot, round(avg(stress), 4) AS stress FROM panel JOIN info USING (entity)
   WHERE snapshot > 0 GROUP BY entity, region, snapshot""")
 def inner_merge(spark, sf):
     means = groupstats.group_means(panel(spark, sf), ["entity"], ["stress"])
-    merged = relations.merge(info(spark, sf).where(F.col("snapshot") > 0), means, "entity")
+    merged = relations.merge(info(spark, sf, "region", "snapshot").where(F.col("snapshot") > 0), means, "entity")
     return merged.select("entity", "region", "snapshot", F.round("stress", 4).alias("stress"))
 
 
@@ -221,7 +221,7 @@ def threshold_filter(spark, sf):
 SELECT entity, region, round(coalesce(stress, CASE WHEN region IS NOT NULL THEN avg(stress) OVER (PARTITION BY region) END), 4) AS stress FROM s""")
 def impute_category_regression(spark, sf):
     snap = panel(spark, sf).where(F.col("year") == 2000).select("entity", "stress")
-    filled = impute.impute_by_category(relations.attach(snap, info(spark, sf), "entity", ["region"]), "stress", "region")
+    filled = impute.impute_by_category(relations.attach(snap, info(spark, sf, "region"), "entity"), "stress", "region")
     return filled.select("entity", "region", F.round("stress", 4).alias("stress"))
 
 
@@ -229,7 +229,7 @@ def impute_category_regression(spark, sf):
   round(coalesce(gdppc, avg(gdppc) OVER (PARTITION BY income_group, year)), 4) AS gdppc FROM panel JOIN info USING (entity) WHERE year >= 1996""")
 def impute_group_mean(spark, sf):
     recent = panel(spark, sf).where(F.col("year") >= 1996).select("entity", "year", "gdppc")
-    merged = relations.merge(recent, info(spark, sf).select("entity", "income_group"), "entity")
+    merged = relations.merge(recent, info(spark, sf, "income_group"), "entity")
     filled = impute.impute_by_group(merged, "gdppc", ["income_group", "year"])
     return filled.select("entity", F.col("year").cast("long").alias("year"), "income_group", F.round("gdppc", 4).alias("gdppc"))
 

@@ -11,7 +11,7 @@ from stratapanel.plans.registry import query
 
 
 def _grouped(spark, sf, columns, attributes=("income_group",)):
-    return relations.attach(panel(spark, sf).select("entity", "year", *columns), info(spark, sf), "entity", attributes)
+    return relations.attach(panel(spark, sf).select("entity", "year", *columns), info(spark, sf, *attributes), "entity")
 
 
 def _year(name: str = "year"):
@@ -23,7 +23,7 @@ f AS (SELECT *, coalesce(value, avg(value) OVER (PARTITION BY indicator, income_
 SELECT indicator, income_group, year::BIGINT AS year, round(avg(filled), 3) AS mean_value, count(*) AS n FROM f GROUP BY 1, 2, 3""")
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Threshold filter, group-mean imputation per year, then mean by group and year."""
-    grouped = relations.merge(kept(spark, sf), info(spark, sf).select("entity", "income_group"), "entity")
+    grouped = relations.merge(kept(spark, sf), info(spark, sf, "income_group"), "entity")
     filled = impute.impute_by_group(grouped, "value", ["indicator", "income_group", "year"])
     return filled.groupBy("indicator", "income_group", _year()).agg(
         F.round(F.avg("value"), 3).alias("mean_value"), F.count(F.lit(1)).alias("n")
@@ -40,7 +40,7 @@ def group_year_mean(spark, sf):
   FROM long JOIN info USING (entity) WHERE indicator IN ('domestic', 'agriculture', 'industry') GROUP BY 1, 2, 3""")
 def group_year_category_mean(spark, sf):
     long = long_panel(spark, sf, ["domestic", "agriculture", "industry"])
-    rows = relations.attach(long, info(spark, sf), "entity", ["income_group"])
+    rows = relations.attach(long, info(spark, sf, "income_group"), "entity")
     means = groupstats.group_means(rows, ["income_group", "year", "indicator"], ["value"])
     return means.select("income_group", _year(), F.col("indicator").alias("category"), F.round("value", 4).alias("average_usage"))
 
