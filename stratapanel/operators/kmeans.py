@@ -14,9 +14,11 @@ from stratapanel.operators.scores import silhouette_squared
 from stratapanel.session import materialize
 
 
-def kmeans_restarts(df: DataFrame, dims: Sequence[str], k: int, starts: int = 25, seed: int = 123) -> KMeansModel:
-    """Best of several fits by within-cluster sum of squares."""
-    rows = materialize(df.select(*dims).dropna(), "points", rebalance=True)
+def _stored(df: DataFrame, dims: Sequence[str]) -> DataFrame:
+    return materialize(df.select(*dims).dropna(), "points", rebalance=True)
+
+
+def _best_fit(rows: DataFrame, dims: Sequence[str], k: int, starts: int, seed: int) -> KMeansModel:
     vectors = assembled(rows, dims).select("features").persist()
     try:
         best = None
@@ -29,6 +31,11 @@ def kmeans_restarts(df: DataFrame, dims: Sequence[str], k: int, starts: int = 25
         vectors.unpersist()
 
 
+def kmeans_restarts(df: DataFrame, dims: Sequence[str], k: int, starts: int = 25, seed: int = 123) -> KMeansModel:
+    """Best of several fits by within-cluster sum of squares."""
+    return _best_fit(_stored(df, dims), dims, k, starts, seed)
+
+
 def nearest_centre(dims: Sequence[str], centres: Sequence[Sequence[float]], first: int = 1) -> Column:
     """Number of the nearest centre (ties to the lower number), as a column expression."""
     options = []
@@ -45,10 +52,10 @@ def assign(df: DataFrame, model: KMeansModel, dims: Sequence[str], out: str = "c
 
 def elbow(df: DataFrame, dims: Sequence[str], ks: Sequence[int], starts: int = 3, seed: int = 123) -> DataFrame:
     """Within-cluster sum of squares and silhouette for each number of clusters."""
-    rows = []
+    points, rows = _stored(df, dims), []
     for k in ks:
-        model = kmeans_restarts(df, dims, k, starts, seed)
-        score = silhouette_squared(assign(df.dropna(subset=list(dims)), model, dims), "cluster", dims)
+        model = _best_fit(points, dims, k, starts, seed)
+        score = silhouette_squared(assign(points, model, dims), "cluster", dims)
         rows.append((k, float(model.summary.trainingCost), score.first()[0]))
     return df.sparkSession.createDataFrame(rows, "k int, wss double, silhouette double")
 
