@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stratapanel.functions.columns import geometric_mean, pearson, shifted_geometric_mean, weighted_mean
 from stratapanel.operators.quantiles import exact_quantiles
 from stratapanel.operators.relations import complete_cases, join_null_safe
+from stratapanel.session import materialize
 
 
 def group_means(df: DataFrame, by: Sequence[str], columns: Sequence[str], suffix: str = "") -> DataFrame:
@@ -125,8 +126,12 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFram
 
 
 def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Quartiles, whiskers (furthest values within 1.5 box lengths) and outliers by group."""
+    """Quartiles, whiskers (furthest values within 1.5 box lengths) and outliers by group.
+
+    The boxes are written out, so that a short table of them is sent to the rows.
+    """
     boxes = exact_quantiles(df, value, [0.25, 0.5, 0.75], [by], ["lower", "middle", "upper"])
+    boxes = materialize(boxes, "boxes")
     rows = join_null_safe(df.select(by, value).where(F.col(value).isNotNull()), boxes, [by])
     reach = (F.col("upper") - F.col("lower")) * 1.5
     inside = F.col(value).between(F.col("lower") - reach, F.col("upper") + reach)

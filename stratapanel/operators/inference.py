@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stratapanel.functions.columns import pearson
 from stratapanel.functions.distributions import normal_two_sided_p, t_critical, t_two_sided_p
-from stratapanel.operators.ranks import average_ranks
+from stratapanel.operators.ranks import running_counts
 
 # Fixed value: upper 2.5 % point of the standard normal.
 Z_975 = 1.959963984540054
@@ -54,12 +54,11 @@ def signed_rank(df: DataFrame, first: str, second: str, by: Sequence[str] = ())
     diff = F.col(first) - F.col(second)
     rows = df.select(*by, diff.alias("__d")).where(F.col("__d").isNotNull() & (F.col("__d") != 0))
     rows = rows.select(*by, F.abs("__d").alias("__a"), (F.col("__d") > 0).cast("long").alias("__up"))
-    ranks = average_ranks(rows, "__a", by)
-    ups = rows.groupBy(*by, "__a").agg(F.sum("__up").alias("__ups"))
-    both = ranks.join(ups, [*by, "__a"])
+    counts = running_counts(rows, "__a", {"n": F.lit(1), "ups": F.col("__up")}, by)
     n = F.col("n").cast("double")
-    sums = both.groupBy(*by).agg(
-        F.sum(F.col("rank") * F.col("__ups")).alias("v"),
+    rank = F.col("n_below") + (n + 1) / 2
+    sums = counts.groupBy(*by).agg(
+        F.sum(rank * F.col("ups")).alias("v"),
         F.sum("n").alias("n_pairs"),
         F.sum(n * n * n - n).alias("__ties"),
     )

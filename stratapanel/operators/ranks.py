@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stratapanel.operators.relations import join_null_safe
+
 MAX_BUCKETS = 1024
 ROWS_PER_BUCKET = 100_000
 STRETCH = 64
@@ -82,12 +84,7 @@ def running_counts(
         offsets = offsets.where(keep)
     offsets = offsets.drop(*weights)
     keys = [*by, "__bucket"]
-    renamed = offsets.withColumnsRenamed({key: f"__o_{key}" for key in keys})
-    same = None
-    for key in keys:
-        one = counts[key].eqNullSafe(renamed[f"__o_{key}"])
-        same = one if same is None else same & one
-    rows = counts.join(renamed, same).drop(*[f"__o_{key}" for key in keys])
+    rows = join_null_safe(counts, offsets, keys, "inner")
     local = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return rows.select(
         *by,
@@ -120,7 +117,7 @@ def position_by_hash(df: DataFrame, hash_col: str, by: Sequence[str] = (), width
     offsets = totals.select(*by, "__bucket", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__below"))
     local = Window.partitionBy(*by, "__bucket").orderBy(hash_col)
     return (
-        bucketed.join(offsets, [*by, "__bucket"])
+        join_null_safe(bucketed, offsets, [*by, "__bucket"], "inner")
         .withColumn("position", F.col("__below") + F.row_number().over(local) - 1)
         .drop("__bucket", "__below")
     )

@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stratapanel.session import materialize
+
 
 def _dot(x: Sequence[str], centre: Column) -> Column:
     terms = [F.col(d) * centre[i] for i, d in enumerate(x)]
@@ -37,9 +39,9 @@ def cluster_sums(points: DataFrame, by: Sequence[str], label: str, dims: Sequenc
 
 
 def _join(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach per-configuration results; without configurations they are one row, as a subquery."""
+    """Attach per-configuration results: a short table of known size, or one row as a subquery."""
     if by:
-        return left.join(right, list(by))
+        return left.join(materialize(right, "clusters"), list(by))
     names = right.columns
     packed = right.select(F.struct(*names).alias("__r")).scalar()
     return left.withColumn("__r", packed).select("*", *[F.col("__r")[n].alias(n) for n in names]).drop("__r")

@@ -28,8 +28,12 @@ def micro_clusters(df: DataFrame, dims: Sequence[str], most: int = 500, seed: in
     """
     dims = list(dims)
     rows = materialize(df.select(*dims).dropna(), "points", rebalance=True)
-    distinct = rows.groupBy(*dims).agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
-    if len(distinct) <= most:
+    # A sketch rules out the common case without a shuffle; only near the limit are points grouped.
+    about = rows.agg(F.approx_count_distinct(F.struct(*dims))).first()[0]
+    distinct = []
+    if about <= 2 * most:
+        distinct = rows.groupBy(*dims).agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
+    if about <= 2 * most and len(distinct) <= most:
         distinct = sorted(distinct)
         points = [list(r)[:-1] for r in distinct]
         schema = ", ".join(f"`{d}` double" for d in dims) + ", micro int"

@@ -38,9 +38,10 @@ def test_hot_group_and_hot_value(spark, tiny_buckets):
 
 
 def test_positions_are_a_permutation_per_class(spark):
-    df = spark.range(2000).withColumn("c", F.when(F.col("id") % 10 == 0, "b").otherwise("a")).withColumn("h", F.md5(F.col("id").cast("string")))
+    df = spark.range(2000).withColumn("c", F.when(F.col("id") % 10 == 0, "b").when(F.col("id") % 10 < 9, "a")).withColumn("h", F.md5(F.col("id").cast("string")))
     rows = ranks.position_by_hash(df, "h", ["c"]).collect()
-    for c in "ab":
+    assert len(rows) == 2000
+    for c in ("a", "b", None):
         mine = sorted((r.h, r.position) for r in rows if r.c == c)
         assert [p for _, p in mine] == list(range(len(mine)))
 
