@@ -141,6 +141,13 @@ def tune(df: DataFrame, model: str, features: Sequence[str], key: str, tuning: T
     return sets[best], spark.createDataFrame(table, schema)
 
 
+def refit(df: DataFrame, model: str, features: Sequence[str], key: str, tuning: Tuning) -> tuple[dict, PipelineModel]:
+    """Tune on all rows and fit the best parameters to all rows."""
+    best, _ = tune(df, model, features, key, tuning)
+    rows = materialize(with_target(df), "refit", rebalance=True)
+    return best, staged_model(model, features, best, tuning.seed).fit(rows)
+
+
 def nested_predictions(df: DataFrame, features: Sequence[str], key: str, tuning: Tuning, outer: int = 5) -> DataFrame:
     """Out-of-fold predictions ``(fold, model, key, truth, pred, prob)`` of tuned models and of the
     random baseline."""

@@ -6,7 +6,6 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from stratapanel.functions.columns import hash_hex
 from stratapanel.operators import classify, derive, features, grid, groupstats, kmeans, metrics, pca, relations, scores
 from stratapanel.operators.dbscan import dbscan as density_clusters
 from stratapanel.operators.ward import ward as ward_clusters

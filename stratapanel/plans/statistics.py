@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratapanel.operators import groupstats, impute, relations
-from stratapanel.plans.panel import INDICATORS, PANEL_SQL, info, long_panel, panel
+from stratapanel.plans.panel import PANEL_SQL, info, long_panel, panel
 from stratapanel.plans.preparation import KEPT_SQL, kept
 from stratapanel.plans.registry import query
 

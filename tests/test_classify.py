@@ -71,6 +71,8 @@ def test_tuning_and_nested_results(spark, planted):
     best, table = classify.tune(planted, "GLMNET", list(BETA), "entity", tuning)
     scores = {r.draw: r.f1 for r in table.collect()}
     assert len(scores) == 2 and str(best) == table.orderBy(F.desc("f1"), "draw").first().params
+    again, fitted = classify.refit(planted, "GLMNET", list(BETA), "entity", tuning)
+    assert again == best and fitted.stages[-1].numFeatures == 3
     assert classify.draw_parameters("RF", 3, 5, 1) == classify.draw_parameters("RF", 3, 5, 1)
     out = classify.nested_predictions(planted, list(BETA), "entity", classify.Tuning(draws=1, models=("GLMNET",)), outer=3)
     assert out.groupBy("model").count().where("count <> 600").isEmpty()

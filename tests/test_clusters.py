@@ -185,6 +185,14 @@ def test_pca_of_planted_rank_two(spark):
     assert all(r.c == pytest.approx(100) for r in shares)
 
 
+def test_pca_model_as_a_table(spark):
+    df, dims, _ = frame(spark, blobs(5))
+    model = pca.components_of(pca.moments_of(df, dims))
+    stored = {r.feature: r for r in pca.model_table(spark, model).collect()}
+    assert np.allclose(stored["x1"].loadings, model.loadings[1]) and np.allclose(stored["x0"].variance, model.variance)
+    assert [r.cumulative for r in pca.summary(spark, model).collect()][-1] == pytest.approx(1.0)
+
+
 def test_zscore_and_rescale(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (6.0, 5.0)], "a double, c double")
     z = features.zscore(df, ["a", "c"]).agg(F.avg("a").alias("m"), F.stddev_samp("a").alias("s"), F.count("c").alias("c")).first()

@@ -29,6 +29,10 @@ def test_year_label(spark):
     assert [r[0] for r in df.select(C.year_of_label("l")).collect()] == [1994, None]
 
 
+def test_year_start(spark):
+    assert str(spark.range(1).select(C.year_start(F.lit(1994))).first()[0]) == "1994-01-01"
+
+
 def test_geometric_means(spark):
     assert one(spark, [1.0, 4.0, None], C.geometric_mean("x"))[0] == pytest.approx(2.0)
     assert one(spark, [0.0, 4.0], C.geometric_mean("x"))[0] == 0.0

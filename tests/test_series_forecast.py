@@ -63,6 +63,12 @@ def test_box_cox_lambda_near_zero_for_growth_with_proportional_noise(spark):
     assert abs(found["lambda"]) <= 0.3
 
 
+def test_box_cox_transform(spark):
+    df = spark.createDataFrame([(4.0, 0.0), (4.0, 0.5), (4.0, 1.0)], "x double, l double")
+    got = [r[0] for r in df.select(series.box_cox(F.col("x"), F.col("l"))).collect()]
+    assert got == pytest.approx([np.log(4), 2.0, 3.0])
+
+
 def test_arima_recovers_planted_models(spark, planted):
     rows = forecast.arima_forecast(paths(spark, **planted), ["s"], h=3).orderBy("s", "t").collect()
     by = {name: [r for r in rows if r.s == name] for name in planted}
