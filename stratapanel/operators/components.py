@@ -13,42 +13,40 @@ SMALL_GRAPH = 200_000
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, component)`` with the smallest node id of each component.
 
-    Labels take the minimum over neighbours, then jump to the label of their label, so long chains
-    shrink fast; a round lowers some label or is the last one. Every round is written out, which
-    keeps the plan short and survives lost executors.
+    While the graph is large, every node moves to its smallest neighbour's own move and the edges
+    move along; edges within a node vanish, so the graph shrinks fast until it is small. Every
+    round is written out, which keeps the plan short and survives lost executors.
     """
-    edges = materialize(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct(), "edges")
-    few = edges.limit(SMALL_GRAPH + 1).count()
-    if few <= SMALL_GRAPH:
-        return _small_graph(nodes, edges)
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(both.distinct(), "edges")
-    labels = materialize(nodes.select("node", F.col("node").alias("component")), "labels")
-    while True:
-        near = (
-            both.join(labels, both.b == labels.node)
-            .groupBy("a")
-            .agg(F.min("component").alias("near"))
-        )
-        lowered = labels.join(near, labels.node == near.a, "left").select(
-            "node", "component", F.least("component", F.coalesce("near", "component")).alias("lower")
-        )
-        jump = labels.select(F.col("node").alias("lower"), F.col("component").alias("far"))
-        updated = materialize(
-            lowered.join(jump, "lower", "left").select(
-                "node",
-                F.least("lower", F.coalesce("far", "lower")).alias("component"),
-                (F.col("component") != F.least("lower", F.coalesce("far", "lower"))).alias("changed"),
-            ),
-            "labels",
-        )
-        labels = updated.select("node", "component")
-        if updated.where("changed").isEmpty():
-            return labels
-
-
-def _small_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Union-find over a checked, small edge list; nodes without edges keep their own id."""
+    labels = nodes.select("node", F.col("node").alias("component"))
+    edges = _distinct_edges(edges)
+    while edges.limit(SMALL_GRAPH + 1).count() > SMALL_GRAPH:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        nearest = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("to"))
+        moves = materialize(nearest.select("id", F.least("id", "to").alias("to")), "moves")
+        second = moves.select(F.col("id").alias("to"), F.col("to").alias("further"))
+        moves = materialize(moves.join(second, "to").select("id", F.col("further").alias("to")), "moves")
+        ends = [moves.select(F.col("id").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab"]
+        moved = edges.join(ends[0], "a").join(ends[1], "b")
+        edges = _distinct_edges(moved.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")))
+        labels = materialize(_relabelled(labels, moves.select(F.col("id").alias("component"), "to")), "labels")
+    return materialize(_relabelled(labels, _small_graph(edges)), "labels")
+
+
+def _distinct_edges(edges: DataFrame) -> DataFrame:
+    """Each undirected edge once, smaller end first, loops left out."""
+    ordered = edges.where(F.col("a") != F.col("b")).select(
+        F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")
+    )
+    return materialize(ordered.distinct(), "edges")
+
+
+def _relabelled(labels: DataFrame, moves: DataFrame) -> DataFrame:
+    joined = labels.join(moves, "component", "left")
+    return joined.select("node", F.coalesce("to", "component").alias("component"))
+
+
+def _small_graph(edges: DataFrame) -> DataFrame:
+    """Union-find over a checked, small edge list: ``(component, to)`` for every node with edges."""
     parent: dict[int, int] = {}
 
     def root(node: int) -> int:
@@ -57,10 +55,8 @@ def _small_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             node = parent[node]
         return node
 
-    for a, b in edges.collect():
+    for a, b in edges.select("a", "b").collect():
         low, high = sorted((root(a), root(b)))
         parent[high] = low
-    schema = "node long, component long"
-    found = edges.sparkSession.createDataFrame([(node, root(node)) for node in list(parent)], schema)
-    joined = nodes.select("node").join(found, "node", "left")
-    return materialize(joined.select("node", F.coalesce("component", "node").alias("component")), "labels")
+    moves = [(node, root(node)) for node in list(parent)]
+    return edges.sparkSession.createDataFrame(moves, "component long, to long")
