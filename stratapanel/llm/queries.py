@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapanel.llm import mixing, quality_rules, token_counts
+from stratapanel.llm import decontaminate, mixing, pii, quality_rules, token_counts
 from stratapanel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,15 @@ def _query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
     return function
 
 
+@_query
+def op1_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_terms"),
+    )
+
+
 @_query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -104,3 +113,8 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bit
        (bits & 47) = 0 and bit_count((bits & 208)::bigint) <= 1 as kept, bits::bigint as bits
 from judged
 """
+
+
+@_query
+def op8_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(spark, table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
