@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapanel.llm import decontaminate, mixing, pii, quality_rules, token_counts
-from stratapanel.llm.common import table
+from stratapanel.llm import decontaminate, mixing, pii, quality_rules, token_counts, warc
+from stratapanel.llm.common import cut, new_folder, remove_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,16 @@ def op1_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "archives")
+    manifest = warc.write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"), folder)
+    records = warc.read_archives(manifest, folder, payloads=False)
+    result = cut(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    remove_folder(spark, folder)
+    return result
+
+
 @_query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
