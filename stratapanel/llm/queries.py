@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapanel.llm import decontaminate, mixing, pii, quality_rules, token_counts, warc
+from stratapanel.llm import decontaminate, html_text, mixing, pii, quality_rules, token_counts, warc
 from stratapanel.llm.common import cut, new_folder, remove_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result
 
 
+@_query
+def op4_html_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 @_query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
