@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapanel.llm import decontaminate, html_text, mixing, near_duplicates, pii, quality_rules, token_counts, warc
+from stratapanel.llm import decontaminate, html_text, mixing, near_duplicates, pii, quality_rules, token_counts, token_ids, warc
 from stratapanel.llm.common import cut, new_folder, remove_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,6 +135,16 @@ def op8_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(spark, table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+@_query
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "token-ids")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    manifest = token_ids.write_token_files(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    result = cut(token_ids.read_token_files(manifest, folder))
+    remove_folder(spark, folder)
+    return result
+
+
 @_query
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
