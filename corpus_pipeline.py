@@ -1,2 +1,67 @@
+"""From raw documents to token files: the text operators in a row, each stage over all that the one before kept."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratapanel.llm import decontaminate, mixing, near_duplicates, quality_rules, token_ids
+from stratapanel.llm.common import cut, new_folder, remove_folder, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the production policy keeps."""
+    return quality_rules.passing(docs, quality_rules.PRODUCTION)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document of the smallest id; rows of one id stay or go together."""
+    found = near_duplicates.near_duplicates(docs)
+    return docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item."""
+    return docs.filter(~decontaminate.contaminated(spark, table(spark, sf_dir, "benchmark", "item_id", "text"), F.col("text")))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; rows of one id are taken alike."""
+    taken = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("taken_copies")).filter("taken_copies > 0")
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("taken_id")))
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("taken_copies").cast("int"))).alias("taken_copy")).select(docs.columns)
+
+
+def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token files and returns their index as read back; the files of this run are then removed."""
+    folder = new_folder(spark, "token-ids")
+    manifest = token_ids.write_token_files(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    result = cut(token_ids.read_token_files(manifest, folder))
+    remove_folder(spark, folder)
+    return result
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("near-duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("mixing", mix),
+    ("token ids", write_ids),
+]
+
+#: Tokens cannot be counted in SQL; the stages are tested one by one.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is written as Parquet and read by the next."""
+    docs, folders = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES[:-1]:
+        folders.append(new_folder(spark, name.replace(" ", "-")))
+        stage(spark, docs, sf_dir).write.parquet(folders[-1])
+        docs = spark.read.parquet(folders[-1])
+    result = STAGES[-1][1](spark, docs, sf_dir)
+    for folder in folders:
+        remove_folder(spark, folder)
+    return result

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapanel.llm import decontaminate, html_text, mixing, near_duplicates, pii, quality_rules, token_counts, token_ids, warc
+from stratapanel.llm import decontaminate, html_text, mixing, near_duplicates, pii, quality_rules, token_counts, token_ids, toxicity, warc
 from stratapanel.llm.common import cut, new_folder, remove_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result
 
 
+@_query
+def op3_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return toxicity.score_toxicity(spark, docs, labels)
+
+
 @_query
 def op4_html_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
