@@ -16,6 +16,7 @@ from itertools import chain, repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -250,11 +251,13 @@ def contaminated(spark: SparkSession, items: DataFrame, text: Column) -> Column:
     """Whether a text holds a test item; false for null."""
     out = F.lit(False)
     for index in item_indexes(items):
-        shared = spark.sparkContext.broadcast(index)
+        out = out | _holds_item(spark.sparkContext.broadcast(index))(F.coalesce(text, F.lit("")))
+    return out
 
-        @F.pandas_udf("boolean")
-        def holds(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([bool(found) for found in shared.value.matches(texts.tolist())], dtype=bool)
 
-        out = out | holds(F.coalesce(text, F.lit("")))
-    return out
+def _holds_item(shared: Broadcast):
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(found) for found in shared.value.matches(texts.tolist())], dtype=bool)
+
+    return holds

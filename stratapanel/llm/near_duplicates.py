@@ -23,6 +23,9 @@ from stratapanel.llm.common import cut
 SHINGLE, SIMILARITY = 5, 75
 #: Independent trees, branches per node, and how deep a node too large to compare branches on.
 TREES, BRANCHES, DEPTH = 6, 2, 7
+#: A large node whose documents agree that much with one of them, on average, is taken as a whole: branching would
+#: hardly part it. What is linked in it is settled on the full sets.
+STOP = 0.4
 #: Documents of a node that is compared exhaustively, and of a group that is confirmed in one task.
 NODE, GROUP = 64, 128
 #: Documents of a large group that all its parts share.
@@ -176,6 +179,13 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(children)), pa.concat_arrays([ids] * BRANCHES)], names=["node", "id"])
 
 
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How much of a document's signature agrees with that of its node's pivot."""
+    for batch in batches:
+        own, pivot = (_signatures(pa.chunked_array([batch.column(k)])) if batch.num_rows else np.zeros((0, VALUES), np.uint16) for k in (3, 4))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((own == pivot).mean(axis=1) if batch.num_rows else np.zeros(0))], names=["node", "id", "least", "share"])
+
+
 class _Sets:
     """Shingle sets of one group, as numbers within the group, to compare one with many at once."""
 
@@ -296,11 +306,16 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
         small.append(entries.join(few.select("node"), "node"))
         if many.isEmpty():
             break
-        large = entries.join(many, "node")
+        pivots = many.select(F.col("least").alias("id")).distinct().join(signatures, "id").select(F.col("id").alias("least"), F.col("signature").alias("pivot"))
+        large = entries.join(many, "node").join(signatures, "id").join(pivots, "least")
+        agreed = cut(large.select("node", "id", "least", "signature", "pivot").mapInArrow(_agreement, "node bigint, id bigint, least bigint, share double"))
+        alike = agreed.groupBy("node").agg(F.avg("share").alias("share"))
+        done = alike.filter(F.col("share") >= (STOP if depth < DEPTH else 0.0)).select("node")
+        pairs.append(agreed.join(done, "node").select(F.col("id").alias("a"), F.col("least").alias("b")))
         if depth == DEPTH:
-            pairs.append(large.select(F.col("id").alias("a"), F.col("least").alias("b")))
             break
-        entries = cut(large.join(signatures, "id").select("node", "id", "signature").mapInArrow(_branch, "node bigint, id bigint"))
+        open_rows = agreed.join(alike.filter(F.col("share") < STOP).select("node"), "node").join(signatures, "id")
+        entries = cut(open_rows.select("node", "id", "signature").mapInArrow(_branch, "node bigint, id bigint"))
     members = None
     for level in small:
         lists = level.groupBy("node").agg(F.sort_array(F.collect_set("id")).alias("members")).select("members")
