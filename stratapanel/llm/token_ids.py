@@ -137,7 +137,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             doc_ids = batch.column(0).to_pylist()
             for texts in by_bytes(batch.column(1).to_pylist(), BATCH_CHARS):
                 for ids in encoder(texts, end_id):
-                    writer = writer or TokenFileWriter(files.open_output_stream(path, buffer_size=1 << 20), vocabulary)
+                    writer = writer or TokenFileWriter(files.open_output_stream(path, compression=None, buffer_size=1 << 20), vocabulary)
                     writer.add(doc_ids[at], ids)
                     at += 1
         if writer:

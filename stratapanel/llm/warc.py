@@ -88,7 +88,7 @@ class ArchiveWriter:
         path = f"{self.root}/part-{TaskContext.get().partitionId() if TaskContext.get() else 0:05d}-{uuid.uuid4().hex}.warc.zst"
         compress = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_content_size=True, write_checksum=True).compress
         n = 0
-        with self.fs.open_output_stream(path, buffer_size=1 << 20) as out:
+        with self.fs.open_output_stream(path, compression=None, buffer_size=1 << 20) as out:
             if dictionary:
                 content = dictionary.as_bytes()
                 out.write(struct.pack("<II", DICTIONARY_FRAME, len(content)) + content)
@@ -137,7 +137,7 @@ def _frames(source: pa.NativeFile, path: str) -> Iterator[bytes]:
             try:
                 parts.append(frame.decompress(data))
             except zstandard.ZstdError as e:
-                raise ValueError(f"{path}: damaged frame before byte {source.tell()}: {e}") from e
+                raise ValueError(f"{path}: damaged frame: {e}") from e
             if frame.eof:
                 data = frame.unused_data
                 break
@@ -176,7 +176,7 @@ _RECORD = "page_id long, url string, record_type string, refers_to long, payload
 def read_archive(path: str, folder: str) -> Iterator[tuple]:
     """The page records of an archive as rows of ``_RECORD``; any fault raises an error that names the file."""
     files, _ = fs.FileSystem.from_uri(folder)
-    with files.open_input_stream(path) as source:
+    with files.open_input_stream(path, compression=None) as source:
         for data in _frames(source, path):
             fields, block = parse_record(data, path)
             kind = fields["warc-type"]
