@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import arrow_schema
+from stratapanel.llm.common import arrow_schema, cut
 
 #: Tokens of the shortest run that counts as repeated.
 RUN = 8
@@ -24,6 +24,9 @@ GROUP_PAGES = 64
 #: A run is boilerplate on so many distinct pages of a group. Inside an article it must also be on half of them.
 LEAST_PAGES, ARTICLE_PAGES, ARTICLE_SHARE = 3, 8, 0.5
 
+#: A table of large hosts is broadcast up to so many rows (two short columns); beyond, pages are shuffled by host.
+BROADCAST_HOSTS = 100_000
+
 _TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']++|"[^">]*+"|'[^'>]*+'|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME_PART = re.compile(r"[a-z]+|[0-9]+")
@@ -189,7 +192,7 @@ def unique_text(blocks_of: list[list[str]], least: int) -> list[str]:
         pages.append(len(ids))
     tokens = np.array(ids, np.int64)
     owner = np.repeat(np.arange(len(blocks_of)), np.diff([0, *pages]))
-    keep = ~repeated_tokens(tokens, owner, least)
+    keep = _whole_or_long(tokens, ~repeated_tokens(tokens, owner, least))
     out, start = [], 0
     for end in pages:
         out.append(" ".join(w for w, k in zip(words[start:end], keep[start:end], strict=True) if k and w))
@@ -197,6 +200,15 @@ def unique_text(blocks_of: list[list[str]], least: int) -> list[str]:
     return out
 
 
+def _whole_or_long(tokens: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Keeps the covered ends of blocks that a run only reaches into: a block goes whole, or by stretches of ``RUN`` tokens."""
+    block = np.cumsum(tokens <= 0)
+    whole = np.bincount(block, keep & (tokens > 0)) == 0
+    borders = np.flatnonzero(np.concatenate(([True], (keep[1:] != keep[:-1]) | (block[1:] != block[:-1]), [True])))
+    stretch = np.repeat(np.diff(borders), np.diff(borders))
+    return keep | ~whole[block] & (stretch - (tokens <= 0) < RUN)
+
+
 def _group_texts(group: pa.Table) -> pa.Table:
     """Main texts of one group of a host's pages."""
     blocks, article = group.column("blocks").to_pylist(), np.array(group.column("article").to_pylist(), bool)
@@ -233,6 +245,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     large = rows.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP_PAGES)
     groups = large.select("host", F.ceil(F.col("n") / GROUP_PAGES).alias("groups"))
     dealt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))).cast("long")
+    groups = cut(groups)
+    if groups.count() <= BROADCAST_HOSTS:
+        groups = F.broadcast(groups)
     rows = rows.join(groups, "host", "left").select("page_id", "url", "host", dealt.alias("group"), "html")
     parsed = rows.mapInArrow(_parse, "page_id bigint, url string, host string, group bigint, blocks array<string>, article boolean")
     texts = parsed.groupBy("host", "group").applyInArrow(_group_texts, "page_id bigint, url string, text string")
