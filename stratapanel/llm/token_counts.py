@@ -29,7 +29,7 @@ def pieces(text: str, most: int = PIECE_CHARS) -> list[str]:
     """
     out, start = [], 0
     while len(text) - start > most:
-        found = _SAFE.search(text, start + most - 1)
+        found = _SAFE.search(text, start + max(1, most - 1))
         if not found:
             break
         out.append(text[start : found.start()])

@@ -79,7 +79,7 @@ def test_copies_of_one_text_reveal_nothing(spark):
 
 
 def test_personal_data_of_awkward_texts(spark):
-    rows = pii.find_personal_data(frame(spark, [*AWKWARD, "a@b.c 1.2.3.4 4111-1111-1111-1111 +1 (212) 555-0100"])).collect()
+    rows = pii.find_personal_data(frame(spark, [*AWKWARD, "a@b.c 1.2.3.4, 4111-1111-1111-1111, +1 (212) 555-0100"])).collect()
     assert len(rows) == len(AWKWARD) + 3
     full = next(r for r in rows if r.doc_id == len(AWKWARD) + 1)
     assert (full.n_email, full.n_ip, full.n_card, full.n_phone) == (1, 1, 1, 1)
