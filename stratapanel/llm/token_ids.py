@@ -5,7 +5,9 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from stratapanel.llm.range_coder import BLOCK_IDS, decode_block, encode_block
 from stratapanel.llm.token_counts import tokenizer
 
 #: Characters of texts encoded at a time, words kept with their ids in a worker, bytes of text of a file.
-BATCH_CHARS, CACHE_WORDS, FILE_BYTES = 1 << 20, 400_000, 24 << 20
+BATCH_CHARS, CACHE_WORDS, FILE_BYTES = 1 << 20, 700_000, 24 << 20
 
 #: File: magic; blocks, each after its length; a length of 0; the table of documents (ids, which of them are
 #: null, numbers of token ids), deflated, after its length and checksum; magic.
@@ -28,6 +30,10 @@ _LENGTH = struct.Struct("<I")
 _TABLE = struct.Struct("<IIQ")
 
 
+#: By tokenizer, the ids of words met by this Python worker.
+_known: dict[str, dict[str, bytes]] = {}
+
+
 class WordEncoder:
     """Encodes texts word by word; the ids of the words met last are kept.
 
@@ -36,19 +42,22 @@ class WordEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        self.encode, self.known = tokenizer(path).encode_batch_fast, {}
+        self.encode, self.known = tokenizer(path).encode_batch_fast, _known.setdefault(path, {})
 
     def __call__(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """The ids of each text, and the end id after them."""
+        known, fresh = self.known, set()
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        fresh = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known = {}
-            fresh = list(set().union(*split))
-        for word, encoding in zip(fresh, self.encode(fresh, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(encoding.ids, np.uint32).tobytes()
-        end = np.uint32(end_id).tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)) + end, np.uint32) for words in split]
+        for words in split:
+            fresh.update(filterfalse(known.__contains__, words))
+        fresh = list(fresh)
+        coded = [array("I", encoding.ids).tobytes() for encoding in self.encode(fresh, add_special_tokens=False)]
+        known.update(zip(fresh, coded, strict=True))
+        end = array("I", [end_id]).tobytes()
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)) + end, np.uint32) for words in split]
+        for word in fresh if len(known) > CACHE_WORDS else ():  # the first words met are the frequent ones
+            del known[word]
+        return out
 
 
 class TokenFileWriter:
