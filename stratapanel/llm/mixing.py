@@ -26,7 +26,7 @@ def quality_weight(text: Column, size: Column) -> Column:
     for symbol in "#*$%&|<>":
         bare = F.replace(bare, F.lit(symbol), F.lit(""))
     symbols = F.octet_length(F.coalesce(text, F.lit(""))) - F.octet_length(bare)
-    share = size.cast("double") / (size + 4 * symbols)
+    share = F.try_divide(size.cast("double"), size + 4 * symbols)
     return F.coalesce(F.when(size >= 50, 1.0).otherwise(0.5) * share, F.lit(0.5))
 
 
