@@ -28,8 +28,10 @@ TREES, BRANCHES, DEPTH = 6, 2, 7
 STOP = 0.4
 #: Documents of a node that is compared exhaustively, and of a group that is confirmed in one task.
 NODE, GROUP = 64, 128
-#: Documents of a large group that all its parts share.
-PIVOTS = 16
+#: Documents of a large group that all its parts share, and of a block of those compared with every part afterwards.
+PIVOTS, REST = 16, 256
+#: Signatures of the pivots of large nodes are broadcast up to so many nodes (256 bytes each).
+BROADCAST_PIVOTS = 20_000
 #: Minwise values of a signature, and how many must agree for a pair to be confirmed on the full sets: at
 #: similarity 0.75 fewer agree in 1 of 30,000 pairs.
 VALUES, ALIKE = 128, 77
@@ -183,7 +185,7 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How much of a document's signature agrees with that of its node's pivot."""
     for batch in batches:
         own, pivot = (_signatures(pa.chunked_array([batch.column(k)])) if batch.num_rows else np.zeros((0, VALUES), np.uint16) for k in (3, 4))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((own == pivot).mean(axis=1) if batch.num_rows else np.zeros(0))], names=["node", "id", "least", "share"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array((own == pivot).mean(axis=1) if batch.num_rows else np.zeros(0))], names=["node", "id", "least", "signature", "share"])
 
 
 class _Sets:
@@ -306,15 +308,20 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
         small.append(entries.join(few.select("node"), "node"))
         if many.isEmpty():
             break
-        pivots = many.select(F.col("least").alias("id")).distinct().join(signatures, "id").select(F.col("id").alias("least"), F.col("signature").alias("pivot"))
-        large = entries.join(many, "node").join(signatures, "id").join(pivots, "least")
-        agreed = cut(large.select("node", "id", "least", "signature", "pivot").mapInArrow(_agreement, "node bigint, id bigint, least bigint, share double"))
+        if depth == 1:  # below, only documents of large nodes matter
+            held = entries.join(many.select("node"), "node").select("id").distinct()
+            signatures_below = cut(signatures.join(held, "id", "left_semi"))
+        pivots = many.select(F.col("least").alias("id")).distinct().join(signatures_below, "id").select(F.col("id").alias("least"), F.col("signature").alias("pivot"))
+        if many.count() <= BROADCAST_PIVOTS:
+            pivots = F.broadcast(pivots)
+        large = entries.join(many, "node").join(signatures_below, "id").join(pivots, "least")
+        agreed = cut(large.select("node", "id", "least", "signature", "pivot").mapInArrow(_agreement, "node bigint, id bigint, least bigint, signature binary, share double"))
         alike = agreed.groupBy("node").agg(F.avg("share").alias("share"))
         done = alike.filter(F.col("share") >= (STOP if depth < DEPTH else 0.0)).select("node")
         pairs.append(agreed.join(done, "node").select(F.col("id").alias("a"), F.col("least").alias("b")))
         if depth == DEPTH:
             break
-        open_rows = agreed.join(alike.filter(F.col("share") < STOP).select("node"), "node").join(signatures, "id")
+        open_rows = agreed.join(alike.filter(F.col("share") < STOP).select("node"), "node")
         entries = cut(open_rows.select("node", "id", "signature").mapInArrow(_branch, "node bigint, id bigint"))
     members = None
     for level in small:
@@ -356,7 +363,7 @@ def confirmed_links(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     labelled = large.join(components(links).withColumnRenamed("component", "label"), "id", "left").select("id", "component", "parts", label)
     counts = labelled.groupBy("component", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("component").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"))
-    labelled = cut(labelled.join(main, "component").withColumn("rest", F.col("label") != F.col("main")).withColumn("blocks", F.ceil((F.col("total") - F.col("most")) / GROUP).cast("int")))
+    labelled = cut(labelled.join(main, "component").withColumn("rest", F.col("label") != F.col("main")).withColumn("blocks", F.ceil((F.col("total") - F.col("most")) / REST).cast("int")).withColumn("parts", F.ceil(F.col("total") / REST).cast("int")))
     rest = labelled.filter("rest")
     parts_of = rest.select("id", "component", "label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("place"), F.floor(_spread(F.col("id"), 3) * F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("rest"))
     all_rows = labelled.filter("blocks > 0").select("id", "component", "label", own.alias("place"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("rest"))
