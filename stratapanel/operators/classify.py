@@ -54,17 +54,25 @@ def with_target(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn("y", (F.col(label) == RAPID).cast("double"))
 
 
-def draw_parameters(model: str, n_features: int, draws: int, seed: int) -> list[dict]:
-    """Random search: a few parameter sets per model, the same for the same seed."""
+#: Ranges of the random search, as whole numbers, numbers, or exponents of ten.
+RANGES = {
+    "RF": {"numTrees": (100, 500), "maxDepth": (3, 12)},
+    "GBT": {"maxIter": (20, 150), "maxDepth": (1, 6), "stepSize": (0.01, 0.4), "subsamplingRate": (0.5, 1.0)},
+    "GLMNET": {"elasticNetParam": (0.0, 1.0), "regParam": (-4.0, 0.0)},
+}
+
+
+def draw_parameters(model: str, n_features: int, draws: int, seed: int, ranges: dict | None = None) -> list[dict]:
+    """Random search: parameter sets drawn from ``ranges`` (``RANGES``), the same for the same seed."""
     rng = random.Random(f"{model}-{seed}")
     sets = []
     for _ in range(draws):
+        drawn = {name: rng.randint(*span) if isinstance(span[0], int) else rng.uniform(*span) for name, span in (ranges or RANGES)[model].items()}
         if model == "RF":
-            sets.append({"numTrees": 50, "maxDepth": 6, "featureSubsetStrategy": str(rng.randint(1, n_features))})
-        elif model == "GBT":
-            sets.append({"maxIter": rng.randint(5, 15), "maxDepth": rng.randint(2, 4), "stepSize": rng.uniform(0.05, 0.4), "subsamplingRate": rng.uniform(0.5, 1.0)})
-        else:
-            sets.append({"elasticNetParam": rng.random(), "regParam": 10 ** rng.uniform(-4, 0)})
+            drawn["featureSubsetStrategy"] = str(rng.randint(1, n_features))
+        if "regParam" in drawn:
+            drawn["regParam"] = 10 ** drawn["regParam"]
+        sets.append(drawn)
     return sets
 
 
@@ -116,8 +124,6 @@ def tune(df: DataFrame, model: str, features: Sequence[str], key: str, tuning: T
     spark = df.sparkSession
     sets = draw_parameters(model, len(features), tuning.draws, tuning.seed)
     schema = "model string, draw int, params string, f1 double"
-    if len(sets) == 1:
-        return sets[0], spark.createDataFrame([(model, 0, str(sets[0]), None)], schema)
     base = with_target(df)
     for r in range(tuning.repeats):
         base = stratified_folds(base, key, "label", tuning.folds, tuning.seed + 1000 * (r + 1), f"fold{r}")
@@ -178,16 +184,17 @@ def fold_results(out_of_fold: DataFrame) -> DataFrame:
 
 
 def coefficients(spark: SparkSession, fitted: PipelineModel, features: Sequence[str]) -> DataFrame:
-    """Coefficient, odds ratio, direction and importance (largest absolute value = 100)."""
+    """Coefficient, odds ratio, direction and importance (absolute values from the smallest, 0, to the largest, 100)."""
     values = [float(v) for v in fitted.stages[-1].coefficients]
     rows = spark.createDataFrame(list(zip(features, values)), "feature string, estimate double")
-    largest = max([abs(v) for v in values] or [0.0])
+    sizes = [abs(v) for v in values] or [0.0]
+    least, span = min(sizes), max(sizes) - min(sizes)
     return rows.select(
         "feature",
         "estimate",
         F.exp("estimate").alias("odds_ratio"),
         F.when(F.col("estimate") > 0, F.lit(f"↑ {RAPID}")).otherwise(F.lit(f"↑ {SLOW}")).alias("direction"),
-        (F.abs("estimate") * (100.0 / largest if largest else 0.0)).alias("importance"),
+        ((F.abs("estimate") - least) * (100.0 / span if span else 0.0)).alias("importance"),
     )
 
 

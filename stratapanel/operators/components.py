@@ -6,30 +6,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from stratapanel.session import materialize
 
-# Graphs up to this many edges are solved in memory; their size is checked before they are read.
-SMALL_GRAPH = 200_000
-
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, component)`` with the smallest node id of each component.
 
-    While the graph is large, every node moves to its smallest neighbour's own move and the edges
-    move along; edges within a node vanish, so the graph shrinks fast until it is small. Every
-    round is written out, which keeps the plan short and survives lost executors.
+    Every node moves to its smallest neighbour's own move and the edges move along; edges within a
+    node vanish, so the graph shrinks fast, until no edge is left. Every round is written out, which
+    keeps the plan short and survives lost executors.
     """
     labels = nodes.select("node", F.col("node").alias("component"))
     edges = _distinct_edges(edges)
-    while edges.limit(SMALL_GRAPH + 1).count() > SMALL_GRAPH:
+    while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         nearest = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("to"))
-        moves = materialize(nearest.select("id", F.least("id", "to").alias("to")), "moves")
-        second = moves.select(F.col("id").alias("to"), F.col("to").alias("further"))
-        moves = materialize(moves.join(second, "to").select("id", F.col("further").alias("to")), "moves")
+        first = nearest.select("id", F.least("id", "to").alias("to"))
+        second = first.select(F.col("id").alias("to"), F.col("to").alias("further"))
+        moves = materialize(first.join(second, "to").select("id", F.col("further").alias("to")), "moves")
         ends = [moves.select(F.col("id").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab"]
         moved = edges.join(ends[0], "a").join(ends[1], "b")
         edges = _distinct_edges(moved.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")))
-        labels = materialize(_relabelled(labels, moves.select(F.col("id").alias("component"), "to")), "labels")
-    return materialize(_relabelled(labels, _small_graph(edges)), "labels")
+        labels = _relabelled(labels, moves.select(F.col("id").alias("component"), "to"))
+    return materialize(labels, "labels")
 
 
 def _distinct_edges(edges: DataFrame) -> DataFrame:
@@ -44,19 +41,3 @@ def _relabelled(labels: DataFrame, moves: DataFrame) -> DataFrame:
     joined = labels.join(moves, "component", "left")
     return joined.select("node", F.coalesce("to", "component").alias("component"))
 
-
-def _small_graph(edges: DataFrame) -> DataFrame:
-    """Union-find over a checked, small edge list: ``(component, to)`` for every node with edges."""
-    parent: dict[int, int] = {}
-
-    def root(node: int) -> int:
-        while parent.setdefault(node, node) != node:
-            parent[node] = parent[parent[node]]
-            node = parent[node]
-        return node
-
-    for a, b in edges.select("a", "b").collect():
-        low, high = sorted((root(a), root(b)))
-        parent[high] = low
-    moves = [(node, root(node)) for node in list(parent)]
-    return edges.sparkSession.createDataFrame(moves, "component long, to long")

@@ -35,14 +35,13 @@ def combine(left: DataFrame, right: DataFrame, how, keys: Sequence[str] = ("enti
 def growth_label(
     df: DataFrame, value: str, first: int, last: int, limit: float = 30.0, key: str = "entity"
 ) -> DataFrame:
-    """Label entities by the percentage growth between two years; missing growth counts as rapid."""
-    ends = (
-        df.where(F.col("year").isin(first, last))
-        .groupBy(key)
-        .agg(
-            F.max(F.when(F.col("year") == first, F.col(value))).alias("__first"),
-            F.max(F.when(F.col("year") == last, F.col(value))).alias("__last"),
-        )
+    """Label entities by the percentage growth between two years; missing growth counts as rapid.
+
+    Every entity of ``df`` is labelled, also one without rows in either year.
+    """
+    ends = df.groupBy(key).agg(
+        F.max(F.when(F.col("year") == first, F.col(value))).alias("__first"),
+        F.max(F.when(F.col("year") == last, F.col(value))).alias("__last"),
     )
     rate = F.try_divide(F.col("__last") - F.col("__first"), F.col("__first")) * 100
     return ends.select(

@@ -2,61 +2,85 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stratapanel.operators.features import assembled
 from stratapanel.operators.scores import silhouette_squared
 from stratapanel.session import materialize
 
 
-def _stored(df: DataFrame, dims: Sequence[str]) -> DataFrame:
-    return materialize(df.select(*dims).dropna(), "points", rebalance=True)
+def _starts(rows: DataFrame, dims: Sequence[str], k: int, starts: int, seed: int) -> list[np.ndarray]:
+    """``starts`` sets of ``k`` distinct points, in the order of a hash of their coordinates.
+
+    The order does not depend on how the rows are stored. With too few distinct points the sets overlap.
+    """
+    order = F.xxhash64(*dims, F.lit(seed))
+    points = np.array([list(r) for r in rows.select(*dims).distinct().orderBy(order, *dims).limit(k * starts).collect()], float)
+    if not len(points):
+        return []
+    k = min(k, len(points))
+    return [points[(np.arange(k) + s * k) % len(points)] for s in range(starts)]
+
+
+def _best_fits(df: DataFrame, dims: Sequence[str], ks: Sequence[int], starts: int, seed: int) -> dict[int, tuple[np.ndarray, float]]:
+    """For each number of clusters the best of several fits, and its sum of squares; all share their passes."""
+    dims = list(dims)
+    rows = materialize(df.select(*dims).dropna(), "points", rebalance=True)
+    same = (np.zeros(len(dims)), np.eye(len(dims)))
+    runs = {(k, s): centres for k in ks for s, centres in enumerate(_starts(rows, dims, k, starts, seed))}
+    names = dict(enumerate(runs))
+    if not names:
+        raise ValueError("no complete rows to cluster")
+    fitted = kmeans_many(rows, dims, dict.fromkeys(names, same), {c: runs[name] for c, name in names.items()})
+    cost = F.array(*[nearest_distance(dims, fitted[c].tolist()) for c in names])
+    sums = rows.select(F.posexplode(cost).alias("run", "d")).groupBy("run").agg(F.sum("d").alias("d")).collect()
+    best: dict[int, tuple[float, int]] = {}
+    for r in sums:
+        k = names[r["run"]][0]
+        best[k] = min(best.get(k, (np.inf, -1)), (r["d"], r["run"]))
+    return {k: (fitted[run], cost) for k, (cost, run) in best.items()}
+
+
+def kmeans_restarts(df: DataFrame, dims: Sequence[str], k: int, starts: int = 25, seed: int = 123) -> np.ndarray:
+    """Centres of the best of several fits by within-cluster sum of squares."""
+    return _best_fits(df, dims, [k], starts, seed)[k][0]
 
 
-def _best_fit(rows: DataFrame, dims: Sequence[str], k: int, starts: int, seed: int) -> KMeansModel:
-    vectors = assembled(rows, dims).select("features").persist()
-    try:
-        best = None
-        for start in range(starts):
-            model = KMeans(k=k, seed=seed + start, featuresCol="features", maxIter=50).fit(vectors)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
-        return best
-    finally:
-        vectors.unpersist()
+def _distance(dims: Sequence[str], centre: Sequence[float]) -> Column:
+    terms = [(F.col(d) - F.lit(float(c))) * (F.col(d) - F.lit(float(c))) for d, c in zip(dims, centre, strict=True)]
+    return sum(terms[1:], terms[0])
 
 
-def kmeans_restarts(df: DataFrame, dims: Sequence[str], k: int, starts: int = 25, seed: int = 123) -> KMeansModel:
-    """Best of several fits by within-cluster sum of squares."""
-    return _best_fit(_stored(df, dims), dims, k, starts, seed)
+def nearest_distance(dims: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:
+    """Squared distance to the nearest centre."""
+    options = [_distance(dims, centre) for centre in centres]
+    return F.least(*options) if len(options) > 1 else options[0]
 
 
 def nearest_centre(dims: Sequence[str], centres: Sequence[Sequence[float]], first: int = 1) -> Column:
-    """Number of the nearest centre (ties to the lower number), as a column expression."""
-    options = []
-    for i, centre in enumerate(centres):
-        terms = [(F.col(d) - F.lit(float(c))) * (F.col(d) - F.lit(float(c))) for d, c in zip(dims, centre)]
-        options.append(F.struct(sum(terms[1:], terms[0]).alias("d"), F.lit(first + i).alias("c")))
-    return F.least(*options)["c"] if len(options) > 1 else F.lit(first)
+    """Number of the nearest centre (ties to the lower number); NULL where a coordinate is missing."""
+    options = [F.struct(_distance(dims, centre).alias("d"), F.lit(first + i).alias("c")) for i, centre in enumerate(centres)]
+    known = F.lit(True)
+    for d in dims:
+        known = known & F.col(d).isNotNull() & ~F.isnan(F.col(d).cast("double"))
+    return F.when(known, F.least(*options)["c"] if len(options) > 1 else F.lit(first))
 
 
-def assign(df: DataFrame, model: KMeansModel, dims: Sequence[str], out: str = "cluster") -> DataFrame:
+def assign(df: DataFrame, centres: np.ndarray, dims: Sequence[str], out: str = "cluster") -> DataFrame:
     """Label the points, clusters numbered from 1."""
-    return df.withColumn(out, nearest_centre(dims, [c.tolist() for c in model.clusterCenters()]))
+    return df.withColumn(out, nearest_centre(dims, centres.tolist()))
 
 
-def elbow(df: DataFrame, dims: Sequence[str], ks: Sequence[int], starts: int = 3, seed: int = 123) -> DataFrame:
+def elbow(df: DataFrame, dims: Sequence[str], ks: Sequence[int], starts: int = 25, seed: int = 123) -> DataFrame:
     """Within-cluster sum of squares and silhouette for each number of clusters."""
-    points, rows = _stored(df, dims), []
-    for k in ks:
-        model = _best_fit(points, dims, k, starts, seed)
-        score = silhouette_squared(assign(points, model, dims), "cluster", dims)
-        rows.append((k, float(model.summary.trainingCost), score.first()[0]))
+    rows = []
+    for k, (centres, cost) in sorted(_best_fits(df, dims, list(ks), starts, seed).items()):
+        score = silhouette_squared(assign(df.select(*dims), centres, dims), "cluster", dims)
+        rows.append((k, float(cost), score.first()[0]))
     return df.sparkSession.createDataFrame(rows, "k int, wss double, silhouette double")
 
 
@@ -65,7 +89,7 @@ def kmeans_many(
     features: Sequence[str],
     maps: dict[int, tuple[np.ndarray, np.ndarray]],
     centres: dict[int, np.ndarray],
-    iterations: int = 30,
+    iterations: int = 100,
     tolerance: float = 1e-6,
 ) -> dict[int, np.ndarray]:
     """Lloyd iterations of many configurations, one pass over the data per iteration for all.
@@ -111,4 +135,6 @@ def kmeans_many(
             if float(np.abs(new - old).max()) <= tolerance:
                 active.discard(c)
         shared.unpersist()
+    if active:
+        warnings.warn(f"{len(active)} of {len(current)} configurations still moved after {iterations} passes", stacklevel=2)
     return current

@@ -6,10 +6,10 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from stratapanel.operators.features import assembled
+from stratapanel.operators.kmeans import kmeans_many
 from stratapanel.session import materialize
 
 
@@ -21,33 +21,34 @@ class MicroClusters:
 
 
 def micro_clusters(df: DataFrame, dims: Sequence[str], most: int = 500, seed: int = 123) -> MicroClusters:
-    """At most ``most`` weighted centres: the distinct points if they are few, else k-means centres.
+    """At most ``most`` weighted k-means centres, started from distinct points in the order of a hash.
 
-    ``most`` bounds what reaches the driver. ``label`` adds the number of a row's centre as
-    ``micro``.
+    ``most`` bounds what reaches the driver. The way is the same at every size: where there are no
+    more distinct points, each is its own centre. ``label`` adds the number of a row's centre as ``micro``.
     """
     dims = list(dims)
     rows = materialize(df.select(*dims).dropna(), "points", rebalance=True)
-    # A sketch rules out the common case without a shuffle; only near the limit are points grouped.
-    about = rows.agg(F.approx_count_distinct(F.struct(*dims))).first()[0]
-    distinct = []
-    if about <= 2 * most:
-        distinct = rows.groupBy(*dims).agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
-    if about <= 2 * most and len(distinct) <= most:
-        distinct = sorted(distinct)
-        points = [list(r)[:-1] for r in distinct]
-        schema = ", ".join(f"`{d}` double" for d in dims) + ", micro int"
-        lookup = df.sparkSession.createDataFrame([(*map(float, p), i) for i, p in enumerate(points)], schema)
-        weights = np.array([r["n"] for r in distinct], float)
-        return MicroClusters(np.array(points, float), weights, lambda d: d.join(lookup, dims))
-    model = KMeans(k=most, seed=seed, maxIter=20, initMode="random", predictionCol="micro").fit(assembled(rows, dims))
-    weights = np.zeros(len(model.clusterCenters()))
-    for j, n in enumerate(model.summary.clusterSizes):
-        weights[j] = n
-    centres = np.array(model.clusterCenters())
-    return MicroClusters(
-        centres, weights, lambda d: model.transform(assembled(d.dropna(subset=dims), dims)).drop("features")
-    )
+    order = F.xxhash64(*dims, F.lit(seed))
+    starts = [list(r) for r in rows.distinct().orderBy(order, *dims).limit(most).collect()]
+    if not starts:
+        return MicroClusters(np.zeros((0, len(dims))), np.zeros(0), lambda d: d.dropna(subset=dims).withColumn("micro", F.lit(0)))
+    same = (np.zeros(len(dims)), np.eye(len(dims)))
+    centres = kmeans_many(rows, dims, {0: same}, {0: np.array(starts, float)}, iterations=20)[0]
+    shared = df.sparkSession.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("int")
+    def nearest(*columns: pd.Series) -> pd.Series:
+        x, centre = np.column_stack([c.to_numpy(float) for c in columns]), shared.value
+        near = (centre**2).sum(axis=1)[None, :] - 2 * x @ centre.T
+        return pd.Series(near.argmin(axis=1).astype("int32"))
+
+    def label(d: DataFrame) -> DataFrame:
+        return d.dropna(subset=dims).withColumn("micro", nearest(*[F.col(c).cast("double") for c in dims]))
+
+    weights = np.zeros(len(centres))
+    for r in label(rows).groupBy("micro").agg(F.count(F.lit(1)).alias("n")).collect():
+        weights[r["micro"]] = r["n"]
+    return MicroClusters(centres, weights, label)
 
 
 def ward_cuts(centres: np.ndarray, weights: np.ndarray, ks: Sequence[int]) -> dict[int, np.ndarray]:

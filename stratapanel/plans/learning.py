@@ -99,13 +99,13 @@ def kmeans_assign_fixed_centres(spark, sf):
 def kmeans_fit(spark, sf):
     rows = scaled(spark, sf, "stress", "domestic", "productivity")
     dims = ["stress", "domestic", "productivity"]
-    model = kmeans.kmeans_restarts(rows, dims, 3, starts=3)
-    return kmeans.assign(rows, model, dims).select("entity", "cluster")
+    centres = kmeans.kmeans_restarts(rows, dims, 3, starts=25)
+    return kmeans.assign(rows, centres, dims).select("entity", "cluster")
 
 
 @query("elbow")
 def elbow(spark, sf):
-    return kmeans.elbow(scaled(spark, sf, "stress", "domestic"), ["stress", "domestic"], range(2, 6), starts=1)
+    return kmeans.elbow(scaled(spark, sf, "stress", "domestic"), ["stress", "domestic"], range(1, 11), starts=25)
 
 
 DBSCAN_SQL = MEANS_SQL + z_sql("stress", "domestic") + """, p AS (SELECT entity AS id, stress AS x, domestic AS y FROM z),
@@ -128,24 +128,7 @@ def dbscan(spark, sf):
 @query("ward")
 def ward(spark, sf):
     dims = ["stress", "domestic", "productivity"]
-    return ward_clusters(scaled(spark, sf, *dims), dims, 3, most=200).select("entity", "cluster")
-
-
-# Nations are the entities here, few whatever the scale, as the pairwise measure requires.
-NATION_SQL = PANEL_SQL + """, nat AS (SELECT c_nationkey AS nation, avg(stress) AS a, avg(withdrawals) AS b FROM panel JOIN customer ON entity = c_custkey GROUP BY 1),
-z AS (SELECT nation, (a - ma) / sa AS a, (b - mb) / sb AS b, CASE WHEN (a - ma) / sa > 0 THEN 2 ELSE 1 END AS l FROM nat, (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb FROM nat)),
-pair AS (SELECT p.nation, p.l, q.l AS o, sum(sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b))) AS s, count(*) AS n FROM z p, z q GROUP BY 1, 2, 3),
-ab AS (SELECT nation, max(CASE WHEN o = l THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN o <> l THEN s / n END) AS b FROM pair GROUP BY 1)
-"""
-
-
-@query("silhouette_exact", NATION_SQL + "SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab")
-def silhouette_exact(spark, sf):
-    customer = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_nationkey").alias("nation"))
-    rows = groupstats.group_means(relations.merge(panel(spark, sf), customer, "entity"), ["nation"], ["stress", "withdrawals"])
-    points = features.zscore(rows, ["stress", "withdrawals"]).withColumn("l", F.when(F.col("stress") > 0, 2).otherwise(1))
-    value = scores.silhouette_euclidean(points, "l", ["stress", "withdrawals"])
-    return spark.createDataFrame([(round(value, 6),)], "silhouette double")
+    return ward_clusters(scaled(spark, sf, *dims), dims, 3).select("entity", "cluster")
 
 
 EMBEDDING_SQL = """WITH e AS (SELECT vec_id, label, unnest(generate_series(1, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
@@ -177,40 +160,6 @@ def davies_bouldin(spark, sf):
     return scores.davies_bouldin(rows, "label", dims).withColumn("db_index", F.round("db_index", 6))
 
 
-NINE = [*INDICATORS, "snapshot"]
-
-
-@query("feature_subsets", """SELECT bit_count(id)::BIGINT AS size, n.n AS n_pc, count(*) AS n_sets, sum(id)::BIGINT AS mask_sum FROM (SELECT unnest(generate_series(0, 511)) AS id), (SELECT unnest(generate_series(2, 8)) AS n) n
-  WHERE bit_count(id) >= n.n GROUP BY 1, 2""")
-def feature_subsets(spark, sf):
-    # The features are the numeric columns of the stored panel and the dimension.
-    names = [c for c in panel(spark, sf).columns if c not in ("entity", "year")] + ["snapshot"]
-    plan = grid.reductions(grid.feature_subsets(spark, names))
-    return plan.groupBy(F.col("size").cast("long").alias("size"), F.col("n_pc").cast("long").alias("n_pc")).agg(
-        F.count(F.lit(1)).alias("n_sets"), F.sum("mask").alias("mask_sum")
-    )
-
-
-def nine_features(spark, sf):
-    base = groupstats.group_means(panel(spark, sf), ["entity"], INDICATORS)
-    return relations.merge(base, info(spark, sf, "snapshot"), "entity").dropna()
-
-
-@query("grid_search")
-def grid_search(spark, sf):
-    plan = grid.reductions(grid.feature_subsets(spark, NINE, most=2))
-    found = grid.grid_search(nine_features(spark, sf), "entity", NINE, plan, micro_limit=150)
-    best = grid.rank_configurations(found, ties=["method", "n_pc"])
-    return best.select("method", F.concat_ws(", ", "features").alias("features"), "n_pc", F.to_json("params").alias("param"), "num_clusters", "silhouette", "db_index", "max_min_ratio", "missing_rate", "composite")
-
-
-@query("grid_search_dbscan")
-def grid_search_dbscan(spark, sf):
-    plan = grid.reductions(grid.feature_subsets(spark, ["stress", "domestic"]))
-    found = grid.grid_search(means(spark, sf, "stress", "domestic"), "entity", ["stress", "domestic"], plan, ks=(), eps=(0.2,), min_pts=(5,))
-    return found.select("method", F.concat_ws(", ", "features").alias("features"), "n_pc", F.to_json("params").alias("param"), "num_clusters", "silhouette", "db_index", "max_min_ratio", "missing_rate")
-
-
 RANKED = ["stress", "domestic", "productivity", "gdppc"]
 RANK_CONFIGS = [(f"{a},{b},{k}", a, b, k) for a, b in combinations(RANKED, 2) for k in (2, 3, 4)]
 
@@ -375,39 +324,6 @@ def model_comparison(spark, sf):
     return found.select("comparison", F.round("mean_diff", 6).alias("mean_diff"), F.round("p_value", 6).alias("p_value"))
 
 
-QUICK = classify.Tuning(draws=2, folds=2, repeats=1, seed=123, parallel=2)
-
-
-def _tuned(spark, sf, model):
-    rows = matrix(spark, sf)
-    _, table_ = classify.tune(rows, model, BLOCK, "entity", QUICK)
-    return table_
-
-
-@query("rf_cv")
-def rf_cv(spark, sf):
-    return _tuned(spark, sf, "RF")
-
-
-@query("gbt_cv")
-def gbt_cv(spark, sf):
-    return _tuned(spark, sf, "GBT")
-
-
-@query("elastic_net_cv")
-def elastic_net_cv(spark, sf):
-    return _tuned(spark, sf, "GLMNET")
-
-
-NESTED = classify.Tuning(draws=1, folds=2, repeats=1, seed=123, models=("GLMNET", "RF"))
-
-
-@query("nested_cv")
-def nested_cv(spark, sf):
-    out = materialize(classify.nested_predictions(matrix(spark, sf), BLOCK, "entity", NESTED), "oof")
-    return metrics.fold_summary(classify.fold_results(out), ["f1", "accuracy", "sensitivity", "specificity", "auc"])
-
-
 def _final_model(spark, sf):
     rows = materialize(classify.with_target(matrix(spark, sf)), "matrix", rebalance=True)
     return classify.staged_model("GLMNET", BLOCK, {"elasticNetParam": 0.5, "regParam": 0.01}).fit(rows), rows
@@ -426,7 +342,7 @@ def partial_dependence_model(spark, sf):
     for row in classify.top(classify.coefficients(spark, fitted, BLOCK), "estimate", 3, "feature").collect():
         name = row["feature"]
         part = classify.partial_dependence(
-            rows, name, classify.grid_values(rows, name, 10), lambda d: classify.predictions(fitted, d, [c for c in d.columns if c in BLOCK])
+            rows, name, classify.grid_values(rows, name), lambda d: classify.predictions(fitted, d, [c for c in d.columns if c in BLOCK])
         ).withColumn("feature", F.lit(name))
         result = part if result is None else result.unionByName(part)
     return result

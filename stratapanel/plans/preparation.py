@@ -59,10 +59,10 @@ def panel_wide(spark, sf):
     return wide.select("entity", *[F.round(c, 4).alias(c) for c in reshape.year_columns(wide)])
 
 
-@query("presence_label", PANEL_SQL + "SELECT entity, max(CASE WHEN year = 2001 AND withdrawals IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS has_data FROM panel GROUP BY entity")
+@query("presence_label", PANEL_SQL + "SELECT entity, max(CASE WHEN withdrawals IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS has_data FROM panel GROUP BY entity")
 def presence_label(spark, sf):
-    late = panel(spark, sf).select("entity", F.when(F.col("year") == 2001, F.col("withdrawals")).alias("value"))
-    return impute.presence_label(late).withColumn("has_data", F.col("has_data").cast("long"))
+    values = panel(spark, sf).select("entity", F.col("withdrawals").alias("value"))
+    return impute.presence_label(values).withColumn("has_data", F.col("has_data").cast("long"))
 
 
 @query("snapshot_relabel", PANEL_SQL + "SELECT entity, 1997::BIGINT AS year, round(stress, 4) AS midpoint_stress FROM panel WHERE year = 2000")
@@ -124,10 +124,10 @@ def dimension_left_join(spark, sf):
 
 
 @query("inner_merge", PANEL_SQL + """SELECT entity, region, snapshot, round(avg(stress), 4) AS stress FROM panel JOIN info USING (entity)
-  WHERE snapshot > 0 GROUP BY entity, region, snapshot""")
+  GROUP BY entity, region, snapshot""")
 def inner_merge(spark, sf):
     means = groupstats.group_means(panel(spark, sf), ["entity"], ["stress"])
-    merged = relations.merge(info(spark, sf, "region", "snapshot").where(F.col("snapshot") > 0), means, "entity")
+    merged = relations.merge(info(spark, sf, "region", "snapshot"), means, "entity")
     return merged.select("entity", "region", "snapshot", F.round("stress", 4).alias("stress"))
 
 
@@ -155,10 +155,10 @@ def fold_left_join(spark, sf):
 
 
 @query("map_join", """SELECT n_name, c AS n_customers, round(b, 4) AS mean_balance FROM nation
-  LEFT JOIN (SELECT c_nationkey, count(*) AS c, avg(c_acctbal) AS b FROM customer WHERE c_acctbal > 9000 GROUP BY 1) ON c_nationkey = n_nationkey""")
+  LEFT JOIN (SELECT c_nationkey, count(*) AS c, avg(c_acctbal) AS b FROM customer GROUP BY 1) ON c_nationkey = n_nationkey""")
 def map_join(spark, sf):
     values = (
-        table(spark, sf, "customer").where(F.col("c_acctbal") > 9000).groupBy("c_nationkey")
+        table(spark, sf, "customer").groupBy("c_nationkey")
         .agg(F.count(F.lit(1)).alias("n_customers"), F.avg("c_acctbal").alias("b"))
     )
     mapped = relations.attach_as(table(spark, sf, "nation"), values, "n_nationkey", "c_nationkey")

@@ -8,26 +8,34 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stratapanel.functions.columns import blank_to_null
 
-META_COLUMNS = ["Country Name", "Country Code", "Indicator Name", "Indicator Code"]
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header lines by their text, with the files that have them; a header names the code of country and indicator."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path")
+    found: dict[str, list[str]] = {}
+    heads = lines.where(F.col("value").contains("Country Code") & F.col("value").contains("Indicator Code"))
+    for row in heads.distinct().orderBy("file_path").collect():
+        found.setdefault(row["value"], []).append(row["file_path"])
+    if not found:
+        raise ValueError(f"no header with a Country Code column in {path}")
+    return found
 
 
-def _header_line(spark: SparkSession, path: str, preamble: int) -> str:
-    """The header, read from the first lines of one file."""
-    lines = [row.value for row in spark.read.text(path).limit(preamble + 4).collect()]
-    for line in lines:
-        if "Country Code" in line:
-            return line
-    raise ValueError(f"no header with a Country Code column in the first {len(lines)} lines of {path}")
-
-
-def read_indicator_csv(spark: SparkSession, path: str, preamble: int = 4) -> DataFrame:
-    """Wide panel from one file or folder of files.
+def read_indicator_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Wide panel from one file or folder of files, whose headers may differ.
 
     The files are split and parsed in parallel: the preamble and header lines are recognised by
-    content, since the CSV reader cannot skip a number of lines. Years become ``X<year>``.
+    content, since the CSV reader cannot skip a number of lines. Years become ``X<year>``; a year
+    that a file lacks is NULL in its rows.
     """
-    header = _header_line(spark, path, preamble)
-    names = next(csv.reader([header.lstrip("﻿")]))
+    parts = [_read_files(spark, header, files) for header, files in _headers(spark, path).items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _read_files(spark: SparkSession, header: str, files: list[str]) -> DataFrame:
+    names = next(csv.reader([header.lstrip("\ufeff")]))
     fields = []
     for name in names:
         if name.isdigit():
@@ -40,7 +48,7 @@ def read_indicator_csv(spark: SparkSession, path: str, preamble: int = 4) -> Dat
         fields.append(T.StructField("__empty", T.StringType()))
     schema = T.StructType(fields)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    lines = spark.read.text(path).where(F.col("value") != header)
+    lines = spark.read.text(files).where(F.col("value") != header)
     parsed = lines.select(F.from_csv("value", ddl, {"mode": "PERMISSIVE"}).alias("row")).select(
         *[F.col("row")[f.name].alias(f.name) for f in schema.fields if f.name != "__empty"]
     )

@@ -88,10 +88,10 @@ def test_derived_indicators(spark):
 
 
 def test_growth_label_of_missing_growth_is_rapid(spark):
-    rows = [("a", 1, 100.0), ("a", 2, 129.0), ("b", 1, 100.0), ("b", 2, 130.0), ("c", 1, None), ("c", 2, 1.0), ("d", 1, 0.0), ("d", 2, 1.0)]
+    rows = [("a", 1, 100.0), ("a", 2, 129.0), ("b", 1, 100.0), ("b", 2, 130.0), ("c", 1, None), ("c", 2, 1.0), ("d", 1, 0.0), ("d", 2, 1.0), ("e", 7, 1.0)]
     df = spark.createDataFrame(rows, "entity string, year int, v double")
     got = {r.entity: r.label for r in derive.growth_label(df, "v", 1, 2).collect()}
-    assert got == {"a": "Slow_growth", "b": "Rapid_growth", "c": "Rapid_growth", "d": "Rapid_growth"}
+    assert got == {"a": "Slow_growth", "b": "Rapid_growth", "c": "Rapid_growth", "d": "Rapid_growth", "e": "Rapid_growth"}
 
 
 def test_snapshot_and_tags(spark):

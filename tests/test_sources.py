@@ -36,6 +36,15 @@ def test_indicator_file(spark, tmp_path):
     assert long.count() == 9 and long.where("value is not null").count() == 5
 
 
+def test_folder_of_files_with_different_headers(spark, tmp_path):
+    head = '"Country Name","Country Code","Indicator Name","Indicator Code",'
+    (tmp_path / "one.csv").write_text(head + '"1994","1995",\n"A","AAA","I","I.1","1","2",\n')
+    (tmp_path / "two.csv").write_text("".join(f'"note {k}"\n' for k in range(30)) + head + '"1995","1996",\n"B","BBB","I","I.1","3","4",\n')
+    wide = csv_panels.read_indicator_csv(spark, str(tmp_path))
+    rows = {r["Country.Code"]: (r.X1994, r.X1995, r.X1996) for r in wide.collect()}
+    assert rows == {"AAA": (1.0, 2.0, None), "BBB": (None, 3.0, 4.0)}
+
+
 def test_file_without_header_is_refused(spark, tmp_path):
     path = tmp_path / "bad.csv"
     path.write_text("a,b\n1,2\n")
