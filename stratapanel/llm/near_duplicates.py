@@ -22,10 +22,10 @@ from stratapanel.llm.common import cut
 #: Two documents are linked if 100 |A and B| >= SIMILARITY |A or B|.
 SHINGLE, SIMILARITY = 5, 75
 #: Independent trees, branches per node, and how deep a node too large to compare branches on.
-TREES, BRANCHES, DEPTH = 6, 2, 7
+TREES, BRANCHES, DEPTH = 6, 2, 5
 #: A large node whose documents agree that much with one of them, on average, is taken as a whole: branching would
 #: hardly part it. What is linked in it is settled on the full sets.
-STOP = 0.4
+STOP = 0.3
 #: Documents of a node that is compared exhaustively, and of a group that is confirmed in one task.
 NODE, GROUP = 64, 128
 #: Documents of a large group that all its parts share, and of a block of those compared with every part afterwards.
@@ -36,6 +36,9 @@ BROADCAST_PIVOTS = 20_000
 #: similarity 0.75 fewer agree in 1 of 30,000 pairs.
 VALUES, ALIKE = 128, 77
 
+#: Edges that one task joins up at a time when components are found.
+EDGES = 500_000
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(20)
 _FACTORS = _random.integers(0, 2**63, VALUES + TREES * BRANCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -259,34 +262,52 @@ def _confirm_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _pairs(a, b)
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the edges of one task, each id with the smallest id reachable over them; itself left out."""
+    parent: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while parent.setdefault(k, k) != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    ids = [k for k in parent if root(k) != k]
+    yield _pairs(ids, [root(k) for k in ids])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id``, ``component`` (smallest id reachable) for the ids of undirected edges ``a``, ``b``.
 
-    Alternates large and small stars: each round links neighbours to the smallest neighbour, until nothing
-    changes. Smallest neighbours are aggregated before they are joined back, so a star of any size is split.
+    Each round first joins up what the edges of one task connect (at most about ``EDGES`` of them), then links
+    neighbours to the smallest neighbour across tasks by a large and a small star, until nothing changes. Smallest
+    neighbours are aggregated before they are joined back, so a star of any size is split.
     """
 
     def stars(e: DataFrame, small: bool) -> DataFrame:
         least = e.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         rows = e.join(least, "a")
-        linked = rows.select(F.col("b").alias("a"), F.col("m").alias("b"))
         if small:
-            linked = linked.filter("a <> b").unionAll(least.select("a", F.col("m").alias("b")))
-        else:
-            linked = rows.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return linked.filter("a <> b").distinct()
+            linked = rows.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
+            return linked.filter("a <> b").distinct()
+        return rows.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    seen, e = None, cut(e)
+    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     while True:
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
+        e = cut(e.coalesce(1 + e.count() // EDGES).mapInArrow(_forest, "a bigint, b bigint"))
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        larger = stars(both, small=False)
-        e = cut(stars(larger, small=True))
-    return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(e.select("b", "b").distinct())
+        linked = cut(stars(stars(both, small=False), small=True))
+        if state(linked) == state(e):
+            break
+        e = linked
+    return linked.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(linked.select("b", "b").distinct())
 
 
 def _sorted_by(df: DataFrame, key: str) -> DataFrame:

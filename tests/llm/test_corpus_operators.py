@@ -180,7 +180,9 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert near_duplicates.near_duplicates(docs.filter("text is null")).count() == 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("limit", [500_000, 40])
+def test_components(spark, monkeypatch, limit):
+    monkeypatch.setattr(near_duplicates, "EDGES", limit)
     r = random.Random(4)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(170)] + [(k, k + 1) for k in range(1000, 1200)] + [(2000, 2000 + k) for k in range(300)]
     parent = {}
