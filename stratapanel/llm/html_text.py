@@ -73,6 +73,7 @@ def page_blocks(page: str) -> tuple[list[str], bool]:
     outside: list[str] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, left out, part of the article
+    open_at: dict[str, list[int]] = {}  # places on the stack by tag; "" has those of all block elements
     at, out, article, found = 0, False, False, False
 
     def flush() -> None:
@@ -82,6 +83,22 @@ def page_blocks(page: str) -> tuple[list[str], bool]:
                 (inside if article else outside).append(text)
             parts.clear()
 
+    def close(depth: int) -> None:
+        nonlocal out, article
+        while len(stack) > depth:
+            name = stack.pop()[0]
+            open_at[name].pop()
+            if name not in _INLINE:
+                open_at[""].pop()
+        before = stack[-1][1:] if stack else (False, False)
+        if before[1] != article:
+            flush()
+        out, article = before
+
+    def top_block() -> tuple[int, str]:
+        depth = open_at[""][-1] if open_at.get("") else -1
+        return depth, stack[depth][0] if depth >= 0 else ""
+
     size = len(page)
     while at < size:
         start = page.find("<", at)
@@ -102,19 +119,18 @@ def page_blocks(page: str) -> tuple[list[str], bool]:
         if not tag:
             continue
         tag = tag.lower()
-        if tag in _INLINE and not m[3]:
-            continue
         if tag == "br":
             if not out:
                 parts.append(" ")
             continue
         if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+            depth = open_at[tag][-1] if open_at.get(tag) else -1
             if tag not in _INLINE:
                 flush()
+            elif depth < top_block()[0]:
+                continue  # an inline element is not closed across the block that is open inside it
             if depth >= 0:
-                del stack[depth:]
-                out, article = stack[-1][1:] if stack else (False, False)
+                close(depth)
             continue
         if tag in _RAW_END:
             end = _RAW_END[tag].search(page, at)
@@ -122,22 +138,26 @@ def page_blocks(page: str) -> tuple[list[str], bool]:
             continue
         if tag not in _INLINE:
             flush()
-        if stack and stack[-1][0] == "p" and tag in _CLOSES_P or stack and tag in ("li", "dt", "dd", "td", "tr", "option") and stack[-1][0] == tag:
-            stack.pop()
-            out, article = stack[-1][1:] if stack else (False, False)
+        depth, block = top_block()
+        if block == "p" and tag in _CLOSES_P or tag in ("li", "dt", "dd", "td", "tr", "option") and block == tag:
+            close(depth)  # with the inline elements left open in it
         if tag == "body" or tag in _NOISE and stack and stack[-1][0] == "head" and tag != "noscript":
             while stack and stack[-1][0] == "head":
-                stack.pop()
-            out, article = stack[-1][1:] if stack else (False, False)
+                close(len(stack) - 1)
         if tag in _VOID or m[3].endswith("/"):
             continue
         was_in_article = article
         noise = out or _is_noise(tag, m[3], article)
         if not noise and (tag in ("article", "main") or 'role="main"' in m[3] or "articleBody" in m[3]):
+            if not article:
+                flush()
             article = found = True
         if noise and not out and tag in _INLINE:
             flush()
         out = noise
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag not in _INLINE:
+            open_at.setdefault("", []).append(len(stack))
         stack.append((tag, out, article))
         if noise:
             article = was_in_article

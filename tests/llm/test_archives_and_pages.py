@@ -103,6 +103,15 @@ def test_blocks(page, blocks, article):
     assert html_text.page_blocks(page) == (blocks, article)
 
 
+@pytest.mark.parametrize(("page", "blocks"), [
+    ("<p>a <span class=ad>x</span> b</p>", ["a", "b"]), ("<p><i aria-hidden=true></i>a<p>b", ["a", "b"]), ("<p><a class=share>s<p>a<p>b", ["a", "b"]),
+    ("<p>a <span hidden>x <span>y</span> z</span> b<p>c", ["a", "b", "c"]), ("<article><p>a <a class=share>s</a> b <b>c</b></p><p>d</article>", ["a", "b c", "d"]),
+    ("<span itemprop=articleBody>a <span>b</span> c</span>", ["a b c"]), ("<div><span>a<div hidden>x</span>y</div>b</div>", ["a", "b"]),
+])
+def test_inline_noise_ends_where_its_element_ends(page, blocks):
+    assert html_text.page_blocks(page)[0] == blocks
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="<>/!-= \"'apdivnscript", max_size=80))
 def test_any_markup_is_parsed(page):
