@@ -2,16 +2,20 @@
 
 Pages are cut into blocks; menus, forms, adverts and the like go by their elements, roles and names. The token
 streams of a host's pages are then concatenated and their suffixes sorted; runs that recur on several pages are
-boilerplate and are removed, unique runs stay.
+boilerplate and are removed, unique runs stay. Pages of equal blocks are one content, and counts cover the whole host.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +23,13 @@ from stratapanel.llm.common import arrow_schema, cut
 
 #: Tokens of the shortest run that counts as repeated.
 RUN = 8
-#: Pages of a host whose streams are concatenated; larger hosts make several such groups.
+#: Contents of a host whose streams are concatenated; larger hosts make several such groups, whose counts are summed.
 GROUP_PAGES = 64
-#: A run is boilerplate on so many distinct pages of a group. Inside an article it must also be on half of them.
-LEAST_PAGES, ARTICLE_PAGES, ARTICLE_SHARE = 3, 8, 0.5
+#: A run is boilerplate on so many distinct contents of a host. Inside articles it must also be on so many in a hundred.
+LEAST_PAGES, ARTICLE_PERCENT = 3, 40
 
-#: A table of large hosts is broadcast up to so many rows (two short columns); beyond, pages are shuffled by host.
-BROADCAST_HOSTS = 100_000
+#: Tables up to so many hosts, or so many runs, are broadcast; beyond, pages are shuffled by host.
+BROADCAST_HOSTS, BROADCAST_RUNS = 100_000, 1_000_000
 
 _TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']++|"[^">]*+"|'[^'>]*+'|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -165,15 +169,13 @@ def page_blocks(page: str) -> tuple[list[str], bool]:
     return (inside, True) if found else (outside, False)
 
 
-def repeated_tokens(tokens: np.ndarray, pages: np.ndarray, least: int) -> np.ndarray:
-    """Which tokens lie in a run of ``RUN`` tokens found on at least ``least`` distinct pages.
+def shared_runs(tokens: np.ndarray, pages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the rank of the run of ``RUN`` tokens that starts there, and for each rank its distinct pages.
 
     Suffixes of the concatenated pages are sorted by prefix doubling, as far as ``RUN`` tokens: suffixes of equal
     rank then start with the same run. ``tokens`` holds a number of its own at the end of each page.
     """
-    n, covered = len(tokens), np.zeros(len(tokens), bool)
-    if n < RUN:
-        return covered
+    n = len(tokens)
     rank, length = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
     while length < RUN:
         step = min(length, RUN - length)
@@ -188,36 +190,49 @@ def repeated_tokens(tokens: np.ndarray, pages: np.ndarray, least: int) -> np.nda
     suffixes = np.argsort(rank, kind="stable")
     group, page = rank[suffixes], pages[suffixes]  # a stable sort keeps the pages of a group in order
     fresh = np.concatenate(([True], (group[1:] != group[:-1]) | (page[1:] != page[:-1])))
-    common = np.bincount(group, fresh, minlength=n) >= least
-    starts = np.flatnonzero(common[rank] & (np.arange(n) <= n - RUN))
+    return rank, np.bincount(group, fresh, minlength=n)
+
+
+def _covered(n: int, starts: np.ndarray) -> np.ndarray:
     marks = np.zeros(n + 1, np.int64)
     np.add.at(marks, starts, 1)
     np.add.at(marks, starts + RUN, -1)
     return np.cumsum(marks[:-1]) > 0
 
 
-def unique_text(blocks_of: list[list[str]], least: int) -> list[str]:
-    """The texts of pages of one host without the runs that ``least`` of them share."""
-    number: dict[str, int] = {}
-    ids, pages, words = [], [], []
-    for page, blocks in enumerate(blocks_of):
-        for block in blocks:
-            for word in block.split(" "):
-                ids.append(number.setdefault(word, len(number) + 1))
-                words.append(word)
-            ids.append(0)
-            words.append("")
-        ids.append(-page - 1)
-        words.append("")
-        pages.append(len(ids))
-    tokens = np.array(ids, np.int64)
-    owner = np.repeat(np.arange(len(blocks_of)), np.diff([0, *pages]))
-    keep = _whole_or_long(tokens, ~repeated_tokens(tokens, owner, least))
-    out, start = [], 0
-    for end in pages:
-        out.append(" ".join(w for w, k in zip(words[start:end], keep[start:end], strict=True) if k and w))
-        start = end
-    return out
+def repeated_tokens(tokens: np.ndarray, pages: np.ndarray, least: int) -> np.ndarray:
+    """Which tokens lie in a run of ``RUN`` tokens found on at least ``least`` distinct pages."""
+    n = len(tokens)
+    if n < RUN:
+        return np.zeros(n, bool)
+    rank, count = shared_runs(tokens, pages)
+    return _covered(n, np.flatnonzero((count >= least)[rank] & (np.arange(n) <= n - RUN)))
+
+
+def _stream(blocks: list[str]) -> list[str]:
+    """The words of a content in order, each block followed by an empty word."""
+    return [word for block in blocks for word in (*block.split(" "), "")]
+
+
+def run_hashes(words: list[str]) -> np.ndarray:
+    """64-bit hashes of the runs of ``RUN`` words that start at each word."""
+    known: dict[str, int] = {}
+    hashes = np.array([known.get(w) or known.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words], np.uint64)
+    out = np.zeros(max(0, len(words) - RUN + 1), np.uint64)
+    for k in range(RUN if len(out) else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(out)]
+    return out.view(np.int64)
+
+
+def unique_text(blocks: list[str], runs: np.ndarray) -> str:
+    """The text of a page without the given runs."""
+    if not len(runs):
+        return " ".join(blocks)
+    words = _stream(blocks)
+    covered = _covered(len(words), np.flatnonzero(np.isin(run_hashes(words), runs)))
+    tokens = np.array([bool(w) for w in words], np.int64)
+    keep = _whole_or_long(tokens, ~covered)
+    return " ".join(w for w, k in zip(words, keep, strict=True) if k and w)
 
 
 def _whole_or_long(tokens: np.ndarray, keep: np.ndarray) -> np.ndarray:
@@ -229,27 +244,115 @@ def _whole_or_long(tokens: np.ndarray, keep: np.ndarray) -> np.ndarray:
     return keep | ~whole[block] & (stretch - (tokens <= 0) < RUN)
 
 
-def _group_texts(group: pa.Table) -> pa.Table:
-    """Main texts of one group of a host's pages."""
-    blocks, article = group.column("blocks").to_pylist(), np.array(group.column("article").to_pylist(), bool)
-    texts: list[str] = [""] * len(blocks)
-    for kind in (True, False):
-        rows = np.flatnonzero(article == kind)
-        least = max(ARTICLE_PAGES, int(np.ceil(ARTICLE_SHARE * len(rows)))) if kind else LEAST_PAGES
-        for row, text in zip(rows, unique_text([blocks[r] for r in rows], least) if len(rows) >= least else [" ".join(blocks[r]) for r in rows], strict=True):
-            texts[row] = text
-    schema = arrow_schema("page_id long, url string, text string")
-    return pa.table([group.column("page_id").combine_chunks(), group.column("url").combine_chunks(), pa.array(texts, pa.string())], schema=schema)
+def least_pages(article: bool, contents: int) -> int:
+    """On how many contents of a host a run is boilerplate."""
+    return max(LEAST_PAGES, -(-ARTICLE_PERCENT * contents // 100)) if article else LEAST_PAGES
+
+
+_RUNS = "host string, article boolean, n long, digest binary, run long"
+
+
+def _group_runs(group: pa.Table) -> pa.Table:
+    """Runs of one group of a host's contents that may be boilerplate there.
+
+    The only group of a host has the runs that are. Of several groups of articles one has a common run on its share
+    of contents at least, so the others need not name it; outside of articles each content names all its runs.
+    """
+    host, article, n = (group.column(name)[0].as_py() for name in ("host", "article", "n"))
+    held = dict(zip(group.column("digest").to_pylist(), group.column("blocks").to_pylist(), strict=True))
+    number: dict[str, int] = {"": 0}
+    ids, owner, hashes = [], [], []
+    for page, blocks in enumerate(held.values()):
+        words = _stream(blocks)
+        ids += [number.setdefault(w, len(number)) for w in words]
+        ids.append(-page - 1)
+        owner.append(len(words) + 1)
+        starts = run_hashes(words)
+        hashes += [starts, np.zeros(len(words) + 1 - len(starts), np.int64)]
+    whole = np.concatenate([np.arange(k) <= k - 1 - RUN for k in owner])
+    pages, run = np.repeat(np.arange(len(held)), owner), np.concatenate(hashes)
+    if n <= GROUP_PAGES:
+        least = least_pages(article, n)
+    else:
+        least = -(-ARTICLE_PERCENT * len(held) // 100) if article else 1
+    rank, count = shared_runs(np.array(ids, np.int64), pages)
+    at = np.flatnonzero(whole & (count >= least)[rank])
+    if article:
+        run, digest = np.unique(run[at]), None
+    else:
+        pairs = np.unique(np.stack([pages[at], run[at]]), axis=1)
+        run, digests = pairs[1], list(held)
+        digest = [digests[k] for k in pairs[0]]
+    size = len(run)
+    columns = [[host] * size, [article] * size, [n] * size, digest or [None] * size, run]
+    schema = arrow_schema(_RUNS)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[str]], list[bool], list[bytes]]]:
+    """Batches of page_id, url, host, html with the blocks of each page, whether of an article, and their digest."""
+    for batch in batches:
+        parsed = [page_blocks(page) for page in batch.column(3).to_pylist()]
+        digests = [hashlib.blake2b("\n".join(blocks).encode("utf-8", "surrogatepass"), digest_size=16).digest() for blocks, _ in parsed]
+        yield batch, [b for b, _ in parsed], [a for _, a in parsed], digests
+
+
+_CONTENT = "host string, article boolean, digest binary, blocks array<string>"
 
 
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("group", pa.int64()), ("blocks", pa.list_(pa.string())), ("article", pa.bool_())])
+def _contents(with_blocks: bool):
+    """Each content of a host once in a task; without its blocks where only contents are counted."""
+    schema = arrow_schema(_CONTENT if with_blocks else _CONTENT.rsplit(", ", 1)[0])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple] = set()
+        for batch, blocks, articles, digests in _read(batches):
+            rows = []
+            for row in zip(batch.column(2).to_pylist(), articles, digests, blocks, strict=True):
+                if row[:3] not in met:
+                    met.add(row[:3])
+                    rows.append(row)
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=False)], schema=schema)
 
-def _parse(batches):
+    return run
+
+
+def _holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which of the runs beside it a content holds."""
+    schema = arrow_schema("host string, digest binary, run long")
     for batch in batches:
-        parsed = [page_blocks(page) for page in batch.column(4).to_pylist()]
-        arrays = [*batch.columns[:4], pa.array([b for b, _ in parsed], pa.list_(pa.string())), pa.array([a for _, a in parsed], pa.bool_())]
-        yield pa.RecordBatch.from_arrays(arrays, schema=_PARSED)
+        out: list[tuple] = []
+        for host, digest, blocks, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out += [(host, digest, int(run)) for run in np.intersect1d(run_hashes(_stream(blocks)), np.array(runs, np.int64))]
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+_PAGE = f"page_id long, url string, {_CONTENT}"
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = arrow_schema(_PAGE)
+    for batch, blocks, articles, digests in _read(batches):
+        arrays = [*batch.columns[:3], pa.array(articles, pa.bool_()), pa.array(digests, pa.binary()), pa.array(blocks, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = arrow_schema("page_id long, url string, text string")
+    for batch in batches:
+        sizes, runs = pc.fill_null(pc.list_value_length(batch.column(3)), 0).to_numpy(zero_copy_only=False), batch.column(3)
+        texts = [unique_text(blocks, runs[k].values.to_numpy() if sizes[k] else ()) for k, blocks in enumerate(batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], schema=schema)
+
+
+def _spark(ddl: str) -> str:
+    return ddl.replace("long", "bigint")
+
+
+def _small(table: DataFrame, size: int, most: int) -> DataFrame:
+    return F.broadcast(table) if size <= most else table
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -257,18 +360,40 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Null html gives an empty text; a null url, or one without a host, belongs to the nameless host; null ids and
     repeated rows give rows of their own; an empty table none. Only the named columns are read. A page is parsed
-    where it is read. Hosts of more than ``GROUP_PAGES`` pages are dealt into groups by a hash of the page, so a
-    host that holds a third of all pages is spread out; what is boilerplate there is so in its groups.
+    where it is read, once for each pass. Pages of equal blocks on a host are one content. Hosts of more than
+    ``GROUP_PAGES`` contents are dealt into groups by the digest of the content, so a host that holds a third of all
+    pages is spread out; what is boilerplate is settled by counts over the whole host.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    large = rows.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP_PAGES)
-    groups = large.select("host", F.ceil(F.col("n") / GROUP_PAGES).alias("groups"))
-    dealt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))).cast("long")
-    groups = cut(groups)
-    if groups.count() <= BROADCAST_HOSTS:
-        groups = F.broadcast(groups)
-    rows = rows.join(groups, "host", "left").select("page_id", "url", "host", dealt.alias("group"), "html")
-    parsed = rows.mapInArrow(_parse, "page_id bigint, url string, host string, group bigint, blocks array<string>, article boolean")
-    texts = parsed.groupBy("host", "group").applyInArrow(_group_texts, "page_id bigint, url string, text string")
+    named = rows.mapInArrow(_contents(False), _CONTENT.rsplit(", ", 1)[0]).distinct()
+    sizes = cut(named.groupBy("host", "article").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES))
+    contents = rows.mapInArrow(_contents(True), _CONTENT)
+    dealt = F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / GROUP_PAGES)).alias("group")
+    groups = contents.join(_small(sizes, sizes.count(), BROADCAST_HOSTS), ["host", "article"]).select("host", "article", "n", dealt, "digest", "blocks")
+    found = cut(groups.groupBy("host", "article", "n", "group").applyInArrow(_group_runs, _spark(_RUNS)))
+
+    inside = found.filter("article").select("host", "n", "run").distinct()
+    common = inside.filter(F.col("n") <= GROUP_PAGES).select("host", "run")
+    unsettled = cut(inside.filter(F.col("n") > GROUP_PAGES))
+    if n_open := unsettled.count():
+        asked = unsettled.groupBy("host").agg(F.collect_list("run").alias("runs"))
+        holding = contents.filter("article").join(_small(asked, n_open, BROADCAST_RUNS), "host").select("host", "digest", "blocks", "runs")
+        held = holding.mapInArrow(_holding, "host string, digest binary, run bigint").distinct().groupBy("host", "run").agg(F.count("*").alias("n_pages"))
+        share = F.ceil(ARTICLE_PERCENT * F.col("n") / 100)
+        counted = held.join(unsettled, ["host", "run"]).filter(F.col("n_pages") >= F.greatest(share, F.lit(LEAST_PAGES)))
+        common = common.unionByName(counted.select("host", "run"))
+    of_host = cut(common.groupBy("host").agg(F.collect_set("run").alias("host_runs")).withColumn("article", F.lit(True)))
+
+    outside = found.filter("NOT article").select("host", "digest", "run")
+    often = outside.groupBy("host", "run").agg(F.count("*").alias("n_pages")).filter(F.col("n_pages") >= LEAST_PAGES)
+    marked = outside.join(often, ["host", "run"], "left_semi").groupBy("host", "digest").agg(F.collect_list("run").alias("page_runs"))
+    of_page = cut(marked.withColumn("article", F.lit(False)))
+
+    parsed = rows.mapInArrow(_parse, _spark(_PAGE))
+    runs = F.lit(None).cast("array<bigint>")
+    for table, keys, column in ((of_host, ["host", "article"], "host_runs"), (of_page, ["host", "article", "digest"], "page_runs")):
+        if size := table.agg(F.sum(F.size(column))).first()[0]:
+            parsed, runs = parsed.join(_small(table, size, BROADCAST_RUNS), keys, "left"), F.coalesce(column, runs)
+    texts = parsed.select("page_id", "url", "blocks", runs.alias("runs")).mapInArrow(_strip, "page_id bigint, url string, text string")
     return texts.withColumn("n_chars", F.length("text").cast("long"))

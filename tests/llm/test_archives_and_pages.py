@@ -161,6 +161,18 @@ def test_boilerplate_of_a_host_is_removed(spark):
     assert html_text.main_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_boilerplate_is_counted_over_the_whole_host(spark):
+    unique = lambda k: " ".join(f"w{k}x{j}" for j in range(12))
+    banner, notice = "this banner is shown on very few of the many pages here", "the notice inside of articles is shown on many of them"
+    rows = [(k, f"http://wide.org/{k}", (f"<div>{banner}</div>" if k % 300 == 0 else "") + f"<p>{unique(k)}</p>") for k in range(1200)]
+    rows += [(2000 + k, f"http://news.org/{k}", "<article>" + (f"<p>{notice}</p>" if k % 5 < 2 else "") + f"<p>{unique(k)}</p></article>") for k in range(300)]
+    rows += [(3000 + k, f"http://few.org/{k}", f"<article><p>{notice}</p><p>{unique(k)}</p></article>") for k in range(5)]
+    rows += [(4000 + k, f"http://rare.org/{k}", "<article>" + (f"<p>{notice}</p>" if k % 5 < 1 else "") + f"<p>{unique(k)}</p></article>") for k in range(300)]
+    for r in html_text.main_text(spark.createDataFrame([(*r, "p", "d") for r in rows], PAGES)).collect():
+        k = r.page_id % 1000 if r.page_id >= 2000 else r.page_id
+        assert r.text == (f"{notice} " if r.page_id >= 4000 and k % 5 < 1 else "") + unique(k)
+
+
 # Token ids
 
 
