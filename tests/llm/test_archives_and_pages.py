@@ -173,6 +173,15 @@ def test_boilerplate_is_counted_over_the_whole_host(spark):
         assert r.text == (f"{notice} " if r.page_id >= 4000 and k % 5 < 1 else "") + unique(k)
 
 
+def test_copies_are_one_content_of_a_host(spark):
+    text = "one and the same text was put on a great many pages of this host"
+    rows = [(k, f"http://copies.org/{k}", f"<article><p>{text}</p></article>") for k in range(20)]
+    rows += [(100 + k, f"http://loose.org/{k}", f"<p>{text}</p><!-- {k} -->") for k in range(20)]
+    rows += [(7, "http://again.org/", f"<p>{text}</p>")] * 200
+    out = html_text.main_text(spark.createDataFrame([(*r, "p", "d") for r in rows], PAGES)).collect()
+    assert [r.text for r in out] == [text] * len(rows)
+
+
 # Token ids
 
 
