@@ -63,7 +63,7 @@ def arrow_schema(ddl: str) -> pa.Schema:
     """Arrow form of a short list of ``name type`` pairs; the schema of an Arrow task's output."""
     kinds = {
         "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
-        "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()),
+        "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()),
     }
     return pa.schema([pa.field(x.split()[0], kinds[x.split()[1]]) for x in ddl.split(", ")])
 

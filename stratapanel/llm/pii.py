@@ -1,8 +1,8 @@
 """Personal data and the terms that give it away.
 
-Values of four kinds are found by their form. A value is a protected entity; the terms around its mentions
-are weighed by pointwise mutual information over the whole corpus: a term that hardly ever occurs without
-the entity reveals it, and is removed or generalised as well.
+Values of four kinds are found by their form. A value is a protected entity; the terms of the documents that
+mention it are weighed by pointwise mutual information over the whole corpus: a term that hardly ever occurs
+without the entity reveals it, and is removed or generalised as well, wherever it occurs.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +21,14 @@ from stratapanel.llm.common import arrow_schema, cut
 #: Kinds in the order of the contract; spans of disclosing terms come last.
 KINDS = ("email", "ip", "card", "phone", "term")
 
-#: Terms on either side of a mention, and how far to look for them (characters).
+#: Terms on either side of a mention that make its surroundings, and how far to look for them (characters).
 NEAR_TERMS = 8
 NEAR_CHARS = 200
-#: A term must occur with an entity in so many different surroundings; copies of one text count once.
+#: A term must occur with an entity in so many different texts, or next to it in so many different surroundings;
+#: copies of one text count once. With less, every rare word of a text would reveal what the text mentions.
 LEAST_CONTEXTS = 3
+#: So many disclosing terms are sent to all workers; more are joined with the terms of the texts.
+BROADCAST_TERMS = 500_000
 #: Share of the entity's information that a term must give to be generalised, or removed.
 GENERALISE, REMOVE = 0.6, 0.8
 
@@ -83,78 +87,131 @@ def near_terms(text: str, start: int, end: int, spans: list[tuple[int, int, int]
     return [(a, b) for a, b in left + right if not any(s < b and a < e for s, _, e in spans)]
 
 
-_FOUND = "doc_id long, starts array<long>, kinds array<long>, ends array<long>, entities array<long>, contexts array<long>, terms array<string>, term_starts array<long>, term_ends array<long>"
+def _outside(spans: list[tuple[int, int, int]], found: Iterator[re.Match]) -> Iterator[re.Match]:
+    """Matches that do not overlap any of the spans; both come in order of their starts."""
+    at, end = 0, 0
+    for m in found:
+        while at < len(spans) and spans[at][0] < m.end():
+            end = max(end, spans[at][2])
+            at += 1
+        if end <= m.start():
+            yield m
+
+
+_FOUND = "entities array<long>, near_entities array<long>, contexts array<long>, terms array<string>, digest long, held array<string>"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema(_FOUND)
     for batch in batches:
-        columns: list[list] = [[] for _ in range(8)]
-        for text in batch.column(1).to_pylist():
+        rows: list[tuple] = []
+        for text in batch.column(0).to_pylist():
             spans = base_spans(text)
-            near: list[tuple] = []
+            if not spans:
+                continue
+            entities, near = set(), set()
             for start, kind, end in spans:
                 value = text[start:end].lower() if kind == 0 else re.sub("[^0-9.]" if kind == 1 else "[^0-9]", "", text[start:end])
                 entity = xxhash.xxh3_64_intdigest(f"{kind}:{value}") >> 1
-                terms = near_terms(text, start, end, spans)
-                context = xxhash.xxh3_64_intdigest(" ".join(text[a:b].lower() for a, b in terms)) >> 1
-                near += [(entity, context, text[a:b].lower(), a, b) for a, b in terms]
-            for column, values in zip(columns, [*(zip(*spans) if spans else ((), (), ())), *(zip(*near) if near else ((),) * 5)], strict=True):
-                column.append(list(values))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
-
-
-def find_mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One stored row per document: its base spans and the terms around each, with a row number of its own."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = slim.mapInArrow(_find, _FOUND.replace("long", "bigint"))
+                entities.add(entity)
+                terms = [text[a:b].lower() for a, b in near_terms(text, start, end, spans)]
+                context = xxhash.xxh3_64_intdigest(" ".join(terms)) >> 1
+                near.update((entity, context, term) for term in terms)
+            held = {m[0].lower() for m in _outside(spans, _TERM.finditer(text))}
+            digest = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+            rows.append((sorted(entities), *(zip(*near, strict=True) if near else ((),) * 3), digest, sorted(held)))
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def find_mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One stored row per document with personal data: its entities, the terms around each mention, and all its terms."""
+    found = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_find, _FOUND.replace("long", "bigint"))
     return cut(found.withColumn("row", F.monotonically_increasing_id()))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
     """``entity``, ``term``, ``disclosure``: the share of an entity's information that a term gives.
 
-    With n documents, of which n_e mention the entity, n_t hold the term and n_et have it near a mention:
+    With n documents, of which n_e mention the entity, n_t hold the term and n_et do both:
     log(n n_et / (n_e n_t)) / log(n / n_e), 1 where the term never occurs elsewhere. Terms of at least
-    ``LEAST_CONTEXTS`` different surroundings and ``GENERALISE`` disclosure are returned.
+    ``LEAST_CONTEXTS`` different texts or surroundings and ``GENERALISE`` disclosure are returned. Only documents
+    of entities that can have such terms are paired with their terms.
     """
-    near = F.explode(F.arrays_zip("entities", "contexts", "terms"))
-    seen = found.select("row", near.alias("n")).select("row", F.col("n.entities").alias("entity"), F.col("n.contexts").alias("context"), F.col("n.terms").alias("term")).distinct()
-    mentioned = seen.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    together = seen.groupBy("entity", "term").agg(F.count_distinct("row").alias("n_both"), F.count_distinct("context").alias("n_contexts"))
-    together = together.filter(F.col("n_contexts") >= LEAST_CONTEXTS)
+    mentions = found.select("row", "digest", F.explode("entities").alias("entity"))
+    near = found.select(F.explode(F.arrays_zip("near_entities", "contexts", "terms")).alias("n"))
+    near = near.select(F.col("n.near_entities").alias("entity"), F.col("n.contexts").alias("context"), F.col("n.terms").alias("term"))
+    windows = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("n_windows")).filter(F.col("n_windows") >= LEAST_CONTEXTS)
+    known = mentions.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("digest").alias("n_texts"))
+    known = known.join(windows.select("entity", F.lit(True).alias("often")).distinct(), "entity", "left")
+    known = known.filter((F.col("n_texts") >= LEAST_CONTEXTS) | F.col("often")).select("entity", "n_entity")
+    chosen = cut(mentions.join(known, "entity"))
+    held = found.join(chosen.select("row").distinct(), "row", "left_semi").select("row", F.explode("held").alias("term"))
+    together = chosen.join(held, "row").groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both"), F.count_distinct("digest").alias("n_texts"))
+    together = together.join(windows, ["entity", "term"], "left").filter((F.col("n_texts") >= LEAST_CONTEXTS) | F.col("n_windows").isNotNull())
     lowered = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}]+")
-    held = docs.select(F.explode(F.array_distinct(lowered)).alias("term")).filter(F.length("term") >= 3)
-    frequencies = held.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = found.agg(F.count("*").alias("n"))
-    weighed = together.join(mentioned, "entity").join(frequencies, "term").withColumn("n", F.lit(total.first()["n"]))
+    words = docs.select(F.explode(F.array_distinct(lowered)).alias("term")).filter(F.length("term") >= 3)
+    frequencies = words.groupBy("term").agg(F.count("*").alias("n_term"))
+    weighed = together.join(frequencies, "term").withColumn("n", F.lit(docs.count()))
     information = F.ln(F.col("n") / F.col("n_entity"))
     shared = F.ln(F.col("n") * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
     share = F.when(information > 0, shared / information).otherwise(0.0)
     return weighed.select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
 
 
+_SPANS = "doc_id long, starts array<long>, kinds array<long>, ends array<long>, disclosures array<double>"
+
+
+def _spans(shared: Broadcast):
+    """Base spans and the spans of disclosing terms: those sent to all workers, and those beside a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(_SPANS)
+        for batch in batches:
+            columns: list[list] = [[] for _ in range(4)]
+            for text, terms, disclosures in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                base = base_spans(text)
+                spans: list[tuple] = [(*s, None) for s in base]
+                revealing = dict(zip(terms, disclosures, strict=True)) if terms else shared.value
+                if revealing:
+                    for m in _outside(base, _TERM.finditer(text)):
+                        if disclosure := revealing.get(m[0].lower()):
+                            spans.append((m.start(), len(KINDS) - 1, m.end(), disclosure))
+                    spans.sort(key=lambda s: s[:3])
+                for column, values in zip(columns, zip(*spans, strict=True) if spans else ((),) * 4, strict=True):
+                    column.append(list(values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
+
+    return run
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per input row: ``doc_id``, counts per kind, ``base`` and ``spans`` (arrays of start, kind, end, disclosure).
 
     Null text counts as empty, without spans; null ids, repeated rows and ties stay rows of their own; an
     empty table gives no rows; only the two named columns are read. Counts and frequencies cover every
-    document. Texts are read twice and never shuffled: only spans, terms and counts are.
+    document, and a disclosing term is found in every text. Texts are read three times and, up to
+    ``BROADCAST_TERMS`` disclosing terms, never shuffled.
     """
-    found = find_mentions(docs, id_col, text_col)
-    revealing = disclosing_terms(docs, found, text_col)
-    near = F.explode(F.arrays_zip("entities", "terms", "term_starts", "term_ends"))
-    terms = found.select("row", near.alias("n")).select("row", F.col("n.entities").alias("entity"), F.col("n.terms").alias("term"), F.col("n.term_starts").alias("start"), F.col("n.term_ends").alias("end"))
-    hits = terms.join(revealing, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    span = F.struct(F.col("start"), F.lit(len(KINDS) - 1).cast("long").alias("kind"), F.col("end"), F.col("disclosure"))
-    added = hits.groupBy("row").agg(F.collect_list(span).alias("added"))
-    zipped = F.arrays_zip("starts", "kinds", "ends")
-    base = F.transform(zipped, lambda s: F.struct(s["starts"].alias("start"), s["kinds"].alias("kind"), s["ends"].alias("end"), F.lit(None).cast("double").alias("disclosure")))
-    rows = found.select("row", "doc_id", "kinds", base.alias("base")).join(added, "row", "left")
+    revealing = disclosing_terms(docs, find_mentions(docs, text_col), text_col)
+    revealing = cut(revealing.groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sent: dict[str, float] = {}
+    if revealing.count() <= BROADCAST_TERMS:
+        sent = {r["term"]: r["disclosure"] for r in revealing.toLocalIterator()}
+        rows = slim.select("doc_id", "text", F.lit(None).cast("array<string>").alias("terms"), F.lit(None).cast("array<double>").alias("disclosures"))
+    else:
+        stored = cut(slim.withColumn("row", F.monotonically_increasing_id()))
+        held = stored.select("row", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).join(revealing, "term")
+        held = held.groupBy("row").agg(F.collect_list(F.struct("term", "disclosure")).alias("held"))
+        rows = stored.join(held, "row", "left").select("doc_id", "text", F.col("held.term").alias("terms"), F.col("held.disclosure").alias("disclosures"))
+    found = rows.mapInArrow(_spans(docs.sparkSession.sparkContext.broadcast(sent)), _SPANS.replace("long", "bigint"))
+    zipped = F.arrays_zip("starts", "kinds", "ends", "disclosures")
+    spans = F.transform(zipped, lambda s: F.struct(s["starts"].alias("start"), s["kinds"].alias("kind"), s["ends"].alias("end"), s["disclosures"].alias("disclosure")))
     counts = [F.size(F.array_remove("kinds", k)) for k in range(len(KINDS) - 1)]
     counts = [(F.size("kinds") - n).cast("long").alias(f"n_{name}") for n, name in zip(counts, KINDS, strict=False)]
-    spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:bigint,kind:bigint,end:bigint,disclosure:double>>"))))
-    return rows.select("doc_id", *counts, "base", spans.alias("spans"))
+    base = F.filter("spans", lambda s: s["kind"] < len(KINDS) - 1)
+    return found.select("doc_id", "kinds", spans.alias("spans")).select("doc_id", *counts, base.alias("base"), "spans")
 
 
 def spelled(spans) -> Column:

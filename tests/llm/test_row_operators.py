@@ -73,6 +73,21 @@ def test_terms_that_reveal_an_entity_are_added(spark):
     assert all("Zorblatt" not in t and "zo@ex.org" not in t and "[email]" in t for t in cleaned)
 
 
+@pytest.mark.parametrize("most", [pii.BROADCAST_TERMS, 0])
+def test_revealing_terms_are_found_everywhere(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+    random.seed(4)
+    fill = [f"{a}{b}" for a in ("common", "plain", "usual", "normal") for b in ("word", "text", "thing", "matter")]
+    some = lambda n: " ".join(random.choices(fill, k=n))
+    texts = [some(40) for _ in range(300)]
+    texts += [f"{some(9)} zo@ex.org {some(40)} Zorblatt {some(5)} zorblatt, {some(3)}" for _ in range(6)] + [f"{some(20)} Zorblatt {some(9)}"]
+    rows = pii.find_personal_data(frame(spark, texts)).collect()
+    assert len(rows) == len(texts) + 2
+    for r in rows:
+        terms = [texts[r.doc_id - 1][s.start : s.end] for s in r.spans if s.kind == 4] if r.doc_id else []
+        assert terms == (["Zorblatt", "zorblatt"] if r.n_email else ["Zorblatt"] if r.doc_id == len(texts) else [])
+
+
 def test_copies_of_one_text_reveal_nothing(spark):
     docs = frame(spark, ["write to Quillon at q@ex.org soon"] * 20 + ["another text of words"] * 30)
     assert all(all(s.kind != 4 for s in r.spans) for r in pii.find_personal_data(docs).collect())
