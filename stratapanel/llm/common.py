@@ -69,10 +69,10 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 
 def by_bytes(texts: Iterable[str], most: int) -> Iterator[list[str]]:
-    """Consecutive texts in lists of about ``most`` bytes each; a longer text is a list of its own."""
+    """Consecutive texts in lists of about ``most`` bytes (UTF-8) each; a longer text is a list of its own."""
     batch, size = [], 0
     for text in texts:
-        n = len(text)
+        n = len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
         if batch and size + n > most:
             yield batch
             batch, size = [], 0

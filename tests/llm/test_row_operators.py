@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stratapanel.llm import pii, quality_rules, token_counts, toxicity
+from stratapanel.llm.common import by_bytes
 from stratapanel.llm.token_ids import WordEncoder
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -104,6 +105,11 @@ def test_personal_data_of_awkward_texts(spark):
 # Token counts
 
 
+def test_batches_are_measured_in_bytes():
+    assert [len(b) for b in by_bytes(["語" * 10] * 6, 60)] == [2, 2, 2] and [len(b) for b in by_bytes(["a" * 10] * 12, 60)] == [6, 6]
+    assert list(by_bytes(["é" * 40, "x"], 60)) == [["é" * 40], ["x"]]
+
+
 @pytest.mark.parametrize("most", [1, 7, 50])
 @settings(max_examples=60, deadline=None)
 @given(text=st.text(alphabet="ab  \n\t.'é9<|endoftxt>", max_size=200))
