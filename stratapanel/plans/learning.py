@@ -11,7 +11,6 @@ from stratapanel.operators.dbscan import dbscan as density_clusters
 from stratapanel.operators.ward import ward as ward_clusters
 from stratapanel.plans.panel import INDICATORS, PANEL_SQL, info, panel, table
 from stratapanel.plans.registry import query
-from stratapanel.session import materialize
 
 MEANS_SQL = PANEL_SQL + ", m AS (SELECT entity, " + ", ".join(f"avg({c}) AS {c}" for c in INDICATORS) + " FROM panel GROUP BY 1)\n"
 
@@ -305,49 +304,6 @@ def fold_summary(spark, sf):
     return found.select("model", *[F.round(c, 7).alias(c) for c in ("mean_f1", "sd_f1", "mean_accuracy", "sd_accuracy")], F.round("ci_f1_l", 6).alias("ci_f1_l"), F.round("ci_f1_u", 6).alias("ci_f1_u"))
 
 
-COMPARE_SQL = PANEL_SQL + LABEL_SQL + """, fo AS (SELECT entity, label, ((row_number() OVER (PARTITION BY label ORDER BY md5(entity::VARCHAR || '#7')) - 1) % 5 + 1) AS fold FROM lb),
-pr AS (SELECT fold, label, s.s AS seed, substr(md5(entity::VARCHAR || '#' || s.s), 1, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS up FROM fo, (SELECT unnest([21, 22, 23]) AS s) s),
-f AS (SELECT fold, seed, 2.0::DOUBLE * sum((label = 'Rapid_growth' AND up)::INT) / (2 * sum((label = 'Rapid_growth' AND up)::INT) + sum((label <> 'Rapid_growth' AND up)::INT) + sum((label = 'Rapid_growth' AND NOT up)::INT)) AS f1 FROM pr GROUP BY 1, 2),
-d AS (SELECT 'M' || a.seed || ' vs M' || b.seed AS comparison, a.f1 - b.f1 AS d FROM f a JOIN f b ON a.fold = b.fold AND a.seed < b.seed),
-r AS (SELECT *, rank() OVER (PARTITION BY comparison ORDER BY abs(d)) AS rk, count(*) OVER (PARTITION BY comparison) AS n FROM d),
-v AS (SELECT comparison, avg(d) AS mean_diff, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) - any_value(n) * (any_value(n) + 1) / 4.0::DOUBLE AS s, any_value(n) AS n FROM r GROUP BY 1),
-z AS (SELECT comparison, mean_diff, abs((s - sign(s) * 0.5) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE)) AS z FROM v)
-SELECT comparison, round(mean_diff, 6) AS mean_diff, round(1 - 2 * sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(z * i / 2000, 2) / 2)) * z / 6000 / sqrt(2 * pi()), 6) AS p_value FROM z, (SELECT unnest(generate_series(0, 2000)) AS i) GROUP BY comparison, mean_diff, z"""
-
-
-@query("model_comparison", COMPARE_SQL)
-def model_comparison(spark, sf):
-    folded = folds(spark, sf).withColumnRenamed("label", "truth")
-    draws = [classify.random_baseline(folded, "entity", seed).withColumn("model", F.lit(f"M{seed}")) for seed in (21, 22, 23)]
-    results = metrics.f1_accuracy(relations.stack(draws), ["fold", "model"])
-    found = metrics.compare_models(results, "f1", [("M21", "M22"), ("M21", "M23"), ("M22", "M23")])
-    return found.select("comparison", F.round("mean_diff", 6).alias("mean_diff"), F.round("p_value", 6).alias("p_value"))
-
-
-def _final_model(spark, sf):
-    rows = materialize(classify.with_target(matrix(spark, sf)), "matrix", rebalance=True)
-    return classify.staged_model("GLMNET", BLOCK, {"elasticNetParam": 0.5, "regParam": 0.01}).fit(rows), rows
-
-
-@query("importance_odds")
-def importance_odds(spark, sf):
-    fitted, _ = _final_model(spark, sf)
-    return classify.top(classify.coefficients(spark, fitted, BLOCK), "estimate", 10, "feature")
-
-
-@query("partial_dependence_model")
-def partial_dependence_model(spark, sf):
-    fitted, rows = _final_model(spark, sf)
-    result = None
-    for row in classify.top(classify.coefficients(spark, fitted, BLOCK), "estimate", 3, "feature").collect():
-        name = row["feature"]
-        part = classify.partial_dependence(
-            rows, name, classify.grid_values(rows, name), lambda d: classify.predictions(fitted, d, [c for c in d.columns if c in BLOCK])
-        ).withColumn("feature", F.lit(name))
-        result = part if result is None else result.unionByName(part)
-    return result
-
-
 WEIGHTS = {"stress": 0.02, "domestic": -0.03}
 
 
@@ -356,12 +312,3 @@ def partial_dependence(spark, sf):
     probability = lambda d: d.withColumn("prob", classify.linear_probability(WEIGHTS, 0.1))
     found = classify.partial_dependence(means(spark, sf, "stress", "domestic"), "stress", range(0, 201, 20), probability)
     return found.withColumn("mean_prob", F.round("mean_prob", 7))
-
-
-@query("misclassification_map", FOLD_SQL + """, e AS (SELECT c_nationkey, avg((label <> pred)::INT::DOUBLE) AS mis_rate FROM pr JOIN customer ON entity = c_custkey GROUP BY 1)
-SELECT n_name, round(mis_rate, 6) AS mis_rate FROM nation LEFT JOIN e ON n_nationkey = c_nationkey""")
-def misclassification_map(spark, sf):
-    place = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), "c_nationkey")
-    rates = metrics.error_rates(relations.merge(baseline(spark, sf), place, "entity"), "c_nationkey")
-    mapped = relations.attach_as(table(spark, sf, "nation").select("n_nationkey", "n_name"), rates, "n_nationkey", "c_nationkey")
-    return mapped.select("n_name", F.round("mis_rate", 6).alias("mis_rate"))

@@ -94,3 +94,19 @@ def test_partial_dependence_of_a_linear_score(planted):
         assert got[v] == pytest.approx(np.mean(1 / (1 + np.exp(-(v + 0.5 * x1)))))
     grid = classify.grid_values(planted, "x0", 5)
     assert len(grid) == 5 and grid == sorted(grid)
+
+
+def test_queries_of_untuned_models_are_not_registered():
+    from stratapanel import plans
+    from stratapanel.plans.registry import QUERIES
+
+    assert plans and not {"importance_odds", "partial_dependence_model", "model_comparison", "misclassification_map"} & set(QUERIES)
+
+
+def test_error_rates_and_model_differences(spark):
+    rows = [(f, m, g, "Rapid_growth", "Rapid_growth" if hit else "Slow_growth") for f, m, g, hit in [(1, "A", "x", 1), (1, "A", "x", 0), (1, "A", "y", 1), (2, "B", "y", 1)]]
+    wrong = {r.g: r.mis_rate for r in metrics.error_rates(spark.createDataFrame(rows, "fold int, model string, g string, truth string, pred string"), "g").collect()}
+    assert wrong == {"x": 0.5, "y": 0.0}
+    scores = [(f, m, 0.1 * f + (0.05 * f if m == "A" else 0)) for f in range(1, 6) for m in "AB"]
+    (found,) = metrics.compare_models(spark.createDataFrame(scores, "fold int, model string, f1 double"), "f1", [("A", "B")]).collect()
+    assert found.comparison == "A vs B" and abs(found.mean_diff - 0.15) < 1e-9 and abs(found.p_value - 0.0590585) < 1e-4
