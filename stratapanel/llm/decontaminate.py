@@ -28,6 +28,9 @@ WINDOW, STRIDE, ENTRY = 128, 64, 64
 THRESHOLD = 0.5
 #: Least share of the words of question and answer that shared five-word shingles cover.
 OVERLAP, SHINGLE = 0.75, 5
+#: A question or answer shorter than a shingle is looked for whole, the answer up to so many words after the question;
+#: it may begin so many words early where words of the question were left out.
+NEAR, EARLY = 16, 2
 K1, B = 1.2, 0.75
 #: Entries of one block, for which every list has its largest impact.
 BLOCK = 8
@@ -58,7 +61,9 @@ class ItemIndex:
             shingles: dict[tuple, list[int]] = {}
             for at in range(len(tokens) - width + 1):
                 shingles.setdefault(tuple(tokens[at : at + width]), []).append(at)
-            self.items.append((item_id, len(tokens), len(tokens) - answer if answer < len(tokens) else 0, width, shingles))
+            split = len(tokens) - answer if answer < len(tokens) else 0
+            short = tuple(part if len(part) < SHINGLE else [] for part in (tokens[:split], tokens[split:])) if split else ([], [])
+            self.items.append((item_id, len(tokens), split, width, shingles, short))
             entries += [(len(self.items) - 1, tokens[at : at + ENTRY]) for at in range(0, len(tokens), ENTRY)]
         self.n_blocks = max(1, -(-len(entries) // BLOCK))
         self.item_of = [item for item, _ in entries]
@@ -147,14 +152,36 @@ class ItemIndex:
         return found
 
     def overlaps(self, item: int, tokens: list[str]) -> tuple[float, float]:
-        """Shares of the words of an item's question and answer inside shingles that the text has too."""
-        _, n, split, width, shingles = self.items[item]
-        covered = np.zeros(n, bool)
+        """Shares of the words of an item's question and answer inside shingles that the text has too.
+
+        Words between or changed around the two break the shingles that span both, so a part too short for a
+        shingle of its own is covered as well by itself, next to where the other part is found.
+        """
+        _, n, split, width, shingles, (question, answer) = self.items[item]
+        covered, hits = np.zeros(n, bool), []
         for at in range(len(tokens) - width + 1):
             for k in shingles.get(tuple(tokens[at : at + width]), ()):
                 covered[k : k + width] = True
-        answer = float(covered[split:].mean())
-        return (float(covered[:split].mean()) if split else answer), answer
+                hits.append((at, k))
+        if answer and not covered[split:].all():
+            if question:
+                ends = {at + split for at in _places(tokens, question)}
+                taken = {end - 1 - k for end in ends for k in range(split)}
+            else:
+                inside = [(at, k) for at, k in hits if k + width <= split]
+                ends = {at + split - k for at, k in inside}
+                taken = {at + j for at, _ in inside for j in range(width)}
+            if _beside(_places(tokens, answer), len(answer), ends, taken, -EARLY, NEAR):
+                covered[split:] = True
+                covered[:split] |= bool(question)
+        elif question and not covered[:split].all():
+            inside = [(at, k) for at, k in hits if k >= split]
+            starts = {at + split - k for at, k in inside}
+            taken = {at + j for at, _ in inside for j in range(width)}
+            if _beside(_places(tokens, question), split, starts, taken, -NEAR - split, EARLY - split):
+                covered[:split] = True
+        found = float(covered[split:].mean())
+        return (float(covered[:split].mean()) if split else found), found
 
     def matches(self, texts: list[str]) -> Iterator[list[tuple[int, float, float, float]]]:
         """For each text the verified items: id, score, overlap of question and of answer."""
@@ -183,6 +210,16 @@ class ItemIndex:
         return out
 
 
+def _places(tokens: list[str], part: list[str]) -> list[int]:
+    """Where a part begins in a text."""
+    return [at for at, word in enumerate(tokens) if word == part[0] and tokens[at : at + len(part)] == part]
+
+
+def _beside(places: list[int], size: int, anchors: set[int], taken: set[int], low: int, high: int) -> bool:
+    """Whether a part begins between ``low`` and ``high`` words from an anchor, on words not taken by the other part."""
+    return any(not taken.intersection(range(at, at + size)) and any(at - d in anchors for d in range(low, high + 1)) for at in places)
+
+
 def _needed_from_rare(lists: list[list[tuple[int, float]]], n_entries: int) -> list[dict[int, float]]:
     """For each term, by block, the most it adds as a share of what an entry must get from its rare terms.
 

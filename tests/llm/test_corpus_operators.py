@@ -109,6 +109,21 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.leaks(spark, frame, bench.limit(0)).count() == 0 and decontaminate.leaks(spark, frame.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize(("item", "text", "leaked"), [
+    ("{q}? Paris.", "{b} {q}? Answer: Paris. {b}", True), ("{q}? Paris.", "{b} {q}? Paris. {b}", True), ("{q}? New Old Paris.", "{b} {q}? It is New Old Paris {b}", True),
+    ("{q}? Paris.", "{b} {e}? Answer: Paris. {b}", True), ("{q}? Paris.", "{b} {q}? {b} Paris {b}", False), ("{q}? Paris.", "{b} Paris {q}? {b}", False),
+    ("{q}? New Old Paris.", "{b} {q}? Answer: Old Paris {b}", False), ("{q} paris {q} end? Paris.", "{b} {q} paris {q} end? {b}", False),
+    ("Where now? {q}.", "{b} Where now? Answer: {q}. {b}", True), ("Where now? {q}.", "Where now? {b} {q}. {b}", False),
+    ("Zorb quill where? Paris.", "{b} zorb quill where? Answer: Paris. {b}", True), ("Zorb quill where? Paris.", "{b} zorb quill where? {b}", False),
+])
+def test_short_parts_are_found_beside_the_other(item, text, leaked):
+    q, b = words(12, 900), " ".join(words(60, 901))
+    e = " ".join([*q[:-1], "changed"])
+    fill = lambda x: x.format(q=" ".join(q), b=b, e=e)
+    index = decontaminate.ItemIndex([(1, fill(item)), *((k, " ".join(words(20, 902 + k))) for k in range(2, 30))])
+    assert [i for i, *_ in next(index.matches([fill(text)]))] == [1] * leaked
+
+
 def test_search_finds_all_above_the_threshold_and_small_indexes_agree(spark):
     items = [(k, " ".join(words(random.Random(k).randint(5, 90), k % 40))) for k in range(200)]
     index = decontaminate.ItemIndex(items)
