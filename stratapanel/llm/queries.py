@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapanel.llm import decontaminate, html_text, mixing, near_duplicates, pii, quality_rules, token_counts, token_ids, toxicity, warc
-from stratapanel.llm.common import cut, new_folder, remove_folder, table
+from stratapanel.llm import decontaminate, html_text, mixing, near_duplicates, periodic_runs, pii, quality_rules, token_counts, token_ids, toxicity, warc
+from stratapanel.llm.common import cut, let, new_folder, remove_folder, table, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,3 +154,38 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def _id_hash(doc_id: Column) -> Column:
+    """Unsigned CRC-32 of an id written in decimal."""
+    return F.crc32(doc_id.cast("string").cast("binary"))
+
+
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by the hash of its id, repeats a stretch of its words from some word on."""
+    seed = F.floor(_id_hash(F.col("doc_id")) / 10)
+
+    def altered(w: Column) -> Column:
+        n = F.size(w)
+        a = seed % n
+        p = 1 + F.floor((n - a) / (3 + seed % 8))
+        taken = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(taken, " "))
+
+    planted = F.when(_id_hash(F.col("doc_id")) % 10 == 0, let(words(F.col("text")), altered)).otherwise(F.col("text"))
+    return docs.select("doc_id", planted.alias("text"))
+
+
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(_with_planted_periods(table(spark, sf_dir, "documents", "doc_id", "text")))
+    first = F.struct(*[F.lit(v).cast("long").alias(n) for n, v in (("start", 0), ("length", 0), ("period", 1))])
+    # Runs come by start, then period: of equal exponents the first stays.
+    best = F.aggregate("runs", first, lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a))
+    spelled = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.when(F.size("runs") > 0, best).alias("best"), spelled.alias("spelled"), "collapsed")
+    return rows.select(
+        "doc_id", "n_runs", F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.col("spelled"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
