@@ -129,7 +129,7 @@ def _may_hold_runs(parts: list[np.ndarray], least: int) -> np.ndarray:
 _OUT = "doc_id long, starts array<long>, lengths array<long>, periods array<long>, collapsed string"
 
 
-def _find(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], least: int, together: int) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema(_OUT)
     ids = WordIds()
     held: list[tuple] = []
@@ -164,7 +164,7 @@ def _find(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
             joined = [b" ".join(words[k]).decode("utf-8", "surrogatepass") for k in plain]
             yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(plain, pa.int64())), *[pa.array(none, pa.list_(pa.int64()))] * 3, pa.array(joined, pa.string())], schema=schema)
             for k in np.flatnonzero(maybe).tolist():
-                if held and size + len(words[k]) > WORDS:
+                if held and size + len(words[k]) > together:
                     yield from flush()
                     held, size = [], 0
                 held.append((doc_ids[k].as_py(), words[k], numbers[k]))
@@ -178,16 +178,17 @@ def _find(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
         yield from flush()
 
 
-def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, together: int = WORDS) -> DataFrame:
     """Per input row ``doc_id``, ``runs`` (array of start, length, period by start, then period; in words from 0) and
     ``collapsed``: the text with each run cut to its first period, words joined by one space.
 
-    A run is a stretch of at least ``least`` words and three times its smallest period that cannot be extended. Null,
+    A run is a stretch of at least ``least`` words and three times its smallest period that cannot be extended. ``together`` words
+    are indexed at a time. Null,
     empty, blank or short texts hold no run. Repeated rows and null ids get rows of their own, an empty table gives
     none, other columns are not read. Documents are independent: nothing is shuffled, and a document is one unit of work
     whose index takes about 150 bytes a word of what repeats in it.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = slim.mapInArrow(lambda batches: _find(batches, least), _OUT.replace("long", "bigint"))
+    found = slim.mapInArrow(lambda batches: _find(batches, least, together), _OUT.replace("long", "bigint"))
     zipped = F.arrays_zip(F.col("starts").alias("start"), F.col("lengths").alias("length"), F.col("periods").alias("period"))
     return found.select("doc_id", zipped.alias("runs"), "collapsed")

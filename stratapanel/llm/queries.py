@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapanel.llm import decontaminate, html_text, mixing, near_duplicates, periodic_runs, pii, quality_rules, token_counts, token_ids, toxicity, warc
+from stratapanel.llm import decontaminate, html_text, merkle, mixing, near_duplicates, periodic_runs, pii, quality_rules, token_counts, token_ids, toxicity, warc
 from stratapanel.llm.common import cut, let, new_folder, remove_folder, table, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +189,60 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(F.col("spelled"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@_query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    head, text = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.col("text")
+    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(_id_hash(F.col("doc_id")) % 5 == 0, merkle.leaf_digest(*head, lowered))
+    leaves = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").alias("group"), merkle.leaf_digest(*head, text).alias("digest"), tampered.alias("presented"))
+    rows = merkle.manifest(leaves).withColumnRenamed("id", "doc_id")
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+ORACLES["op12_merkle_manifest"] = r"""
+with recursive spelled as (
+  select doc_id, coalesce('s' || source, '-') as grp,
+         coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head,
+         coalesce(strlen(text) || ':' || text, '-') as body,
+         xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+             lambda a, x: list_reduce(list_concat([xor(a, x)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) as crc
+  from documents),
+hashed as (
+  select doc_id, grp, sha256(head || body) as leaf,
+         case when crc % 5 = 0 then sha256(head || translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) end as presented
+  from spelled),
+leaves as (
+  select *, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as place, row_number() over () as row from hashed),
+nodes as (
+  select grp, 0 as level, place as idx, leaf as digest, count(*) over (partition by grp) as n from leaves
+  union all
+  select grp, level + 1, idx // 16, sha256(string_agg(digest, '' order by idx)), (any_value(n) + 15) // 16 from nodes where n > 1 group by grp, level, idx // 16),
+subroots as (select grp, digest, row_number() over (order by nullif(grp, '-') nulls first) - 1 as place, count(*) over () as n from nodes where n = 1),
+top as (
+  select 0 as level, place as idx, digest, n from subroots
+  union all
+  select level + 1, idx // 16, sha256(string_agg(digest, '' order by idx)), (any_value(n) + 15) // 16 from top where n > 1 group by level, idx // 16),
+all_nodes as (select grp, level, idx, digest from nodes where n > 1 union all select null, level + 100, idx, digest from top where n > 1),
+beside as (
+  select grp, level, idx,
+         coalesce(string_agg(digest, '') over (partition by grp, level, idx // 16 order by idx rows between unbounded preceding and 1 preceding), '') as l,
+         coalesce(string_agg(digest, '') over (partition by grp, level, idx // 16 order by idx rows between 1 following and unbounded following), '') as r
+  from all_nodes),
+steps as (
+  select row, row_number() over (partition by row order by level) as step, l, r
+  from (select v.row, b.level, b.l, b.r from leaves v join beside b on b.grp = v.grp and b.idx = v.place >> (4 * b.level)
+        union all
+        select v.row, b.level, b.l, b.r from leaves v join subroots s on s.grp = v.grp join beside b on b.grp is null and b.idx = s.place >> (4 * (b.level - 100)))),
+folded as (
+  select row, 0::bigint as step, coalesce(presented, leaf) as digest from leaves
+  union all
+  select f.row, f.step + 1, sha256(s.l || f.digest || s.r) from folded f join steps s on s.row = f.row and s.step = f.step + 1),
+proofs as (select row, sha256(string_agg(l || r, '' order by step)) as proof_sha256 from steps group by row)
+select v.doc_id, v.leaf, s.digest as subroot, t.digest as root, coalesce(p.proof_sha256, sha256('')) as proof_sha256, f.digest as folded_root, f.digest = t.digest as verified
+from leaves v join subroots s using (grp) join (select digest from top where n = 1) t on true left join proofs p using (row)
+join (select row, arg_max(digest, step) as digest from folded group by row) f using (row)
+"""

@@ -18,10 +18,11 @@ SF = "/root/testdata/sf0.001"
 def test_matches_sql_on_awkward_rows(spark, name, tmp_path):
     random.seed(1)
     texts = [None, "", " \n", "a", "b " * 80, *[" ".join(random.choices("ab#", k=k)) for k in range(1, 200, 5)], "x" * 50_000]
-    rows = [(k, t, random.choice([None, "", "é", "s1", "S1"]), "x", 1.0) for k, t in enumerate(texts)] + [(None, "null id", "s1", "y", 2.0), (3, "a", "s1", "y", 2.0), (3, "a", "s1", "y", 2.0)]
+    rows = [(k, t, random.choice([None, "", "é", "s1", "S1"]), "x", 1.0, random.choice([None, "", "de"]), random.choice([None, k])) for k, t in enumerate(texts)]
+    rows += [(None, "null id", "s1", "y", 2.0, "", 1), *[(3, "a", "s1", "y", 2.0, "fr", None)] * 2]
     for n, part in enumerate((rows, rows[:0], rows[:1])):
         path = f"{tmp_path}/{n}"
-        spark.createDataFrame(part, "doc_id long, text string, source string, bits string, target double").coalesce(1).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame(part, "doc_id long, text string, source string, bits string, target double, lang string, n_chars long").coalesce(1).write.parquet(f"{path}/documents.parquet")
         mine = queries.QUERIES[name](spark, path).toPandas()
         db = duckdb.connect()
         db.execute(f"create view documents as select * from '{path}/documents.parquet/*.parquet'")

@@ -81,13 +81,12 @@ def test_index_answers(values, data):
         assert (factors.forward(one(i), one(j))[0], factors.backward(one(i), one(j))[0]) == (forward, backward)
 
 
-def test_documents_are_indexed_together_and_apart(spark, monkeypatch):
+def test_documents_are_indexed_together_and_apart(spark):
     rows = [(k, " ".join(map(str, words))) for k, words in enumerate(sequences(12))]
     rows += [(None, "a b " * 30), (5000, None), (5001, ""), (5002, " \n\t "), (5003, "x " * 24), (5003, "x " * 24), (5004, "é\xa0è " * 70), (5005, "so " * 20_000)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'n' as runs", "1 as collapsed", "2 as starts")
     for words in (200, 200_000):
-        monkeypatch.setattr(periodic_runs, "WORDS", words)
-        got = sorted(((r.doc_id is None, r.doc_id or 0, [tuple(x) for x in r.runs], r.collapsed) for r in periodic_runs.find_runs(frame).collect()))
+        got = sorted(((r.doc_id is None, r.doc_id or 0, [tuple(x) for x in r.runs], r.collapsed) for r in periodic_runs.find_runs(frame, together=words).collect()))
         expected = []
         for doc_id, text in rows:
             split = (text or "").replace("\xa0", "\x00").split()
