@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapanel.llm import decontaminate, html_text, merkle, mixing, near_duplicates, periodic_runs, pii, quality_rules, token_counts, token_ids, toxicity, warc
+from stratapanel.llm import decontaminate, html_text, merkle, mixing, near_duplicates, periodic_runs, pii, quality_rules, relative_lz, token_counts, token_ids, toxicity, warc
 from stratapanel.llm.common import cut, let, new_folder, remove_folder, table, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,3 +246,27 @@ select v.doc_id, v.leaf, s.digest as subroot, t.digest as root, coalesce(p.proof
 from leaves v join subroots s using (grp) join (select digest from top where n = 1) t on true left join proofs p using (row)
 join (select row, arg_max(digest, step) as digest from folded group by row) f using (row)
 """
+
+
+@_query
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = relative_lz.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op13_repeated_passages"] = r"""
+with split as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, row_number() over () as row from documents),
+windows as (
+  select row, doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) as win
+  from (select row, doc_id, w, unnest(range(1, len(w) - 48)) as i from split where len(w) >= 50)),
+late as (select row, i from (select row, doc_id, i, min(doc_id) over (partition by win) as first from windows) where first < doc_id),
+covered as (select row, i + d as i from late, range(50) as steps(d) group by row, i + d),
+gone as (select row, count(*) as n from covered group by row),
+kept as (
+  select s.row, string_agg(s.word, ' ' order by s.i) as words
+  from (select row, unnest(w) as word, generate_subscripts(w, 1) as i from split where row in (select row from gone)) s
+  left join covered c on c.row = s.row and c.i = s.i where c.row is null group by s.row)
+select s.doc_id, len(w)::bigint as n_words, coalesce(g.n, 0)::bigint as n_removed,
+       sha256(case when g.n is null then array_to_string(w, ' ') else coalesce(k.words, '') end) as kept_sha256
+from split s left join gone g using (row) left join kept k using (row)
+"""
