@@ -1,7 +1,8 @@
 """Search over feature subsets, numbers of components and clustering settings.
 
 All k-means and Ward configurations share one correlation matrix, one set of micro-clusters and
-the same passes over the data; only one short row per configuration reaches the driver.
+the same passes over the data; only one short row per configuration reaches the driver. All density
+settings of all reductions to as many components share one plan and are scored where they are.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratapanel.functions.columns import is_finite
 from stratapanel.operators import pca, scores
-from stratapanel.operators.dbscan import dbscan
+from stratapanel.operators.density_grid import dbscan_many
 from stratapanel.operators.features import rescale, zscore
 from stratapanel.operators.kmeans import kmeans_many
 from stratapanel.operators.ward import micro_clusters, ward_cuts
@@ -192,10 +193,10 @@ def grid_search(
         for c, found, sil, db, ratio in scored
     ]
     result = spark.createDataFrame(rows, RESULT_SCHEMA)
-    for reduction in todo.values():
-        for e in eps:
-            for m in min_pts:
-                result = result.unionByName(_dbscan_row(points, key, moments, reduction, e, m))
+    if eps and min_pts:
+        for n_pc in sorted({r.n_pc for r in todo.values()}):
+            alike = {i: r for i, r in todo.items() if r.n_pc == n_pc}
+            result = result.unionByName(_density_rows(points, key, alike, n_pc, eps, min_pts))
     return result
 
 
@@ -222,26 +223,42 @@ def reduced_points(points: DataFrame, key: str, moments: pca.Moments, features:
     return pca.scores(points, pca.components_of(moments.subset(features)), [key], n_pc)
 
 
-def _dbscan_row(points, key, moments, reduction: Reduction, eps: float, min_pts: int) -> DataFrame:
-    dims = [f"pc{j + 1}" for j in range(reduction.n_pc)]
-    space = reduced_points(points, key, moments, reduction.features, reduction.n_pc)
-    labels = dbscan(space, key, dims, eps, min_pts)
-    labelled = materialize(space.join(labels, key), "labels")
-    sizes = scores.balance(labelled, "cluster")
-    # Noise counts as a cluster of its own for the silhouette, and is left out of the index.
-    sil = scores.silhouette_squared(labelled, "cluster", dims)
-    db = scores.davies_bouldin(labelled, "cluster", dims, noise=0)
-    return sizes.select(
-        F.lit("DBSCAN").alias("method"),
-        F.array(*[F.lit(f) for f in reduction.features]).alias("features"),
-        F.lit(reduction.n_pc).alias("n_pc"),
-        F.create_map(F.lit("eps"), F.lit(float(eps)), F.lit("minPts"), F.lit(float(min_pts))).alias("params"),
-        "num_clusters",
-        F.when(F.col("num_clusters") >= 2, sil.scalar()).alias("silhouette"),
-        F.when(F.col("num_clusters") >= 2, db.scalar()).alias("db_index"),
-        "max_min_ratio",
-        "missing_rate",
-    )
+def _reduced_spaces(points: DataFrame, key: str, plan: dict[int, Reduction], n_pc: int) -> DataFrame:
+    """Every point once per reduction: ``space``, key and components."""
+    features = [c for c in points.columns if c != key]
+    shared = points.sparkSession.sparkContext.broadcast(plan)
+    dims = [f"pc{j + 1}" for j in range(n_pc)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = batch[features].to_numpy(float)
+            for space, reduction in shared.value.items():
+                out = pd.DataFrame((x - reduction.offset) @ reduction.matrix, columns=dims)
+                out.insert(0, "key", batch[key].to_numpy())
+                out.insert(0, "space", space)
+                yield out
+
+    schema = "space int, key bigint, " + ", ".join(f"{d} double" for d in dims)
+    return points.select(F.col(key).cast("long").alias(key), *features).mapInPandas(run, schema)
+
+
+def _density_rows(points: DataFrame, key: str, plan: dict[int, Reduction], n_pc: int, eps: Sequence[float], min_pts: Sequence[int]) -> DataFrame:
+    """One row per reduction and density setting. Noise counts as a cluster of its own for the silhouette and is left
+    out of the index; with fewer than two clusters there is no score."""
+    dims, by = [f"pc{j + 1}" for j in range(n_pc)], ["space", "eps", "min_pts"]
+    spaces = materialize(_reduced_spaces(points, key, plan, n_pc), "spaces")
+    labels = materialize(dbscan_many(spaces, "key", dims, eps, min_pts, "space"), "labels")
+    sizes = materialize(scores.balance(labels, "cluster", by), "sizes")
+    scored = labels.join(sizes.where("num_clusters >= 2").select(*by), by, "left_semi")
+    labelled = materialize(spaces.join(scored, ["space", "key"]), "labelled")
+    sil = scores.silhouette_squared(labelled, "cluster", dims, by)
+    db = scores.davies_bouldin(labelled, "cluster", dims, by, noise=0)
+    names = points.sparkSession.createDataFrame([(i, r.features) for i, r in plan.items()], "space int, features array<string>")
+    return sizes.join(sil, by, "left").join(db, by, "left").join(names, "space").select(
+        F.lit("DBSCAN").alias("method"), "features", F.lit(n_pc).alias("n_pc"),
+        F.create_map(F.lit("eps"), F.col("eps"), F.lit("minPts"), F.col("min_pts").cast("double")).alias("params"),
+        "num_clusters", "silhouette", "db_index", "max_min_ratio", "missing_rate",
+    )
 
 
 def rank_configurations(

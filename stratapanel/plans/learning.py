@@ -204,6 +204,22 @@ def grid_rank(spark, sf):
     return ranked.select("config", *[F.round(c, 6).alias(c) for c in ("silhouette", "db_index")], "num_clusters", *[F.round(c, 6).alias(c) for c in ("max_min_ratio", "missing_rate", "composite")])
 
 
+#: The settings of the study: eleven radii and seven least counts, three numbers of clusters.
+EPS, MIN_PTS, KS = [round(0.2 * k, 1) for k in range(11)], range(2, 9), (2, 3, 4)
+
+
+@query("grid_search")
+def grid_search(spark, sf):
+    """Every setting of one reduction: three indicators, two components."""
+    chosen = ["stress", "domestic", "productivity"]
+    plan = grid.reductions(grid.feature_subsets(spark, chosen, least=3), most_pc=2)
+    found = grid.grid_search(means(spark, sf, *chosen), "entity", chosen, plan, KS, EPS, MIN_PTS)
+    return found.select(
+        "method", F.array_join("features", ",").alias("features"), "n_pc", F.concat_ws(", ", F.transform(F.array_sort(F.map_entries("params")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))).alias("param"),
+        "num_clusters", *[F.round(c, 6).alias(c) for c in ("silhouette", "db_index", "max_min_ratio", "missing_rate")],
+    )
+
+
 @query("cluster_profile", LABELLED_SQL + """, w AS (SELECT cluster, avg(m.stress) AS stress, avg(m.domestic) AS domestic FROM lab JOIN m USING (entity) GROUP BY 1)
 SELECT cluster, 'stress' AS feature, round(stress, 5) AS mean, round(log10(stress + 1), 6) AS log_mean FROM w UNION ALL SELECT cluster, 'domestic', round(domestic, 5), round(log10(domestic + 1), 6) FROM w""")
 def cluster_profile(spark, sf):
