@@ -6,11 +6,12 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from stratapanel.operators import classify, derive, features, grid, groupstats, kmeans, metrics, pca, relations, scores
+from stratapanel.operators import classify, derive, elastic_net, features, grid, groupstats, kmeans, metrics, pca, relations, scores
 from stratapanel.operators.dbscan import dbscan as density_clusters
 from stratapanel.operators.ward import ward as ward_clusters
 from stratapanel.plans.panel import INDICATORS, PANEL_SQL, info, panel, table
 from stratapanel.plans.registry import query
+from stratapanel.session import materialize
 
 MEANS_SQL = PANEL_SQL + ", m AS (SELECT entity, " + ", ".join(f"avg({c}) AS {c}" for c in INDICATORS) + " FROM panel GROUP BY 1)\n"
 
@@ -328,3 +329,81 @@ def partial_dependence(spark, sf):
     probability = lambda d: d.withColumn("prob", classify.linear_probability(WEIGHTS, 0.1))
     found = classify.partial_dependence(means(spark, sf, "stress", "domestic"), "stress", range(0, 201, 20), probability)
     return found.withColumn("mean_prob", F.round("mean_prob", 7))
+
+
+_studies: dict[tuple, elastic_net.Study] = {}
+
+
+def study(spark, sf) -> elastic_net.Study:
+    """The tuned elastic net at full width: 30 draws, 10 times 5 folds, on all rows and in each of 5 outer folds.
+
+    Fitted once a session; its short tables and the predictions are stored, as the panel is.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _studies:
+        found = elastic_net.nested_study(matrix(spark, sf), "entity", "label", BLOCK)
+        found.predictions = materialize(found.predictions, "predictions")
+        _studies[key] = found
+    return _studies[key]
+
+
+@query("elastic_net_cv")
+def elastic_net_cv(spark, sf):
+    """Score of every draw on all rows; the best one first by its order."""
+    rows = study(spark, sf).draws.where("fold = 0")
+    return rows.select("draw", *[F.round(c, 6).alias(c) for c in ("mix", "reg", "mean_f1", "sd_f1")], "at_rest")
+
+
+@query("nested_cv")
+def nested_cv(spark, sf):
+    """Out-of-fold predictions of the model tuned inside each outer fold."""
+    return study(spark, sf).predictions.select("fold", "entity", "truth", "pred", F.round("prob", 6).alias("prob"))
+
+
+def model_results(spark, sf):
+    """F1 and accuracy by outer fold of the tuned model and of the random baseline on the same folds."""
+    predictions = study(spark, sf).predictions
+    random = classify.random_baseline(predictions.select("fold", "entity", "truth"), "entity", 11)
+    scored = [elastic_net.fold_scores(d).withColumn("model", F.lit(name)) for name, d in (("ElasticNet", predictions), ("RandomBaseline", random))]
+    return relations.stack(scored)
+
+
+@query("model_summary")
+def model_summary(spark, sf):
+    found = metrics.fold_summary(model_results(spark, sf), ["f1", "accuracy"])
+    return found.select("model", *[F.round(c, 6).alias(c) for c in found.columns if c != "model"])
+
+
+@query("model_comparison")
+def model_comparison(spark, sf):
+    found = metrics.compare_models(model_results(spark, sf), "f1", [("ElasticNet", "RandomBaseline")])
+    return found.select("comparison", F.round("mean_diff", 6).alias("mean_diff"), F.round("p_value", 6).alias("p_value"))
+
+
+@query("importance_odds")
+def importance_odds(spark, sf):
+    """The ten features of greatest effect in the tuned model."""
+    found = elastic_net.interpreted(study(spark, sf).coefficients)
+    return classify.top(found.select("feature", *[F.round(c, 6).alias(c) for c in ("estimate", "odds_ratio", "importance")], "direction"), "estimate", 10, "feature")
+
+
+@query("partial_dependence_model")
+def partial_dependence_model(spark, sf):
+    """Mean predicted probability over twenty values of each of the three features of greatest effect."""
+    found, rows = study(spark, sf), matrix(spark, sf)
+    parts = []
+    for row in classify.top(found.coefficients, "estimate", 3, "feature").collect():
+        name = row["feature"]
+        probability = lambda d: d.withColumn("prob", classify.linear_probability(found.slopes, found.intercept))
+        part = classify.partial_dependence(rows, name, classify.grid_values(rows, name), probability)
+        parts.append(part.select(F.lit(name).alias("feature"), F.round("value", 6).alias("value"), F.round("mean_prob", 6).alias("mean_prob")))
+    return relations.stack(parts)
+
+
+@query("misclassification_map")
+def misclassification_map(spark, sf):
+    """Share of wrong out-of-fold predictions by place; places without predictions stay."""
+    place = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), "c_nationkey")
+    rates = metrics.error_rates(relations.merge(study(spark, sf).predictions, place, "entity"), "c_nationkey")
+    mapped = relations.attach_as(table(spark, sf, "nation").select("n_nationkey", "n_name"), rates, "n_nationkey", "c_nationkey")
+    return mapped.select("n_name", F.round("mis_rate", 6).alias("mis_rate"))
