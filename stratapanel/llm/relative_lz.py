@@ -27,8 +27,8 @@ from stratapanel.llm.sequence_index import FactorRanks, WordIds
 WINDOW, ANCHOR = 50, 25
 #: Words that are indexed together in a task.
 WORDS = 200_000
-#: Keys that the documents of one reference block, and the copies of one text, are dealt out to.
-SALTS, COPY_SALTS = 1024, 256
+#: Keys that the documents of one reference block, the copies of one text, and the texts of one anchor are dealt out to.
+SALTS, COPY_SALTS, ANCHOR_SALTS = 1024, 256, 64
 #: Words whose numbers or hashes a task remembers; only speed depends on it.
 REMEMBERED = 500_000
 
@@ -247,8 +247,13 @@ def repeated_spans(classes: DataFrame, texts: DataFrame, together: int = WORDS)
     ``classes`` holds one row per distinct text: ``class``, ``id``, ``anchors``, ``places``; ``texts`` ``doc_id``, ``class``, ``text``.
     """
     entries = classes.select("class", "id", F.explode(F.arrays_zip("anchors", "places")).alias("e")).select("class", "id", "e.anchors", "e.places")
-    shared = entries.groupBy("anchors").agg(F.min("id").alias("first"), F.max("id").alias("last"), (F.count("*") > 2).alias("more"))
-    hits = entries.join(shared.filter("first < last"), "anchors").groupBy("class", "id")
+    # An anchor that very many texts hold is dealt out: its row goes to every salt that its texts have.
+    entries = entries.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(ANCHOR_SALTS)).cast("int"))
+    salts = F.bit_or(F.expr("shiftleft(1L, salt)"))
+    shared = entries.groupBy("anchors").agg(F.min("id").alias("first"), F.max("id").alias("last"), (F.count("*") > 2).alias("more"), salts.alias("salts"))
+    every = F.sequence(F.lit(0), F.lit(ANCHOR_SALTS - 1))
+    dealt = shared.filter("first < last").withColumn("salt", F.explode(F.filter(every, lambda k: F.getbit("salts", k) == 1)))
+    hits = entries.join(dealt.drop("salts", "last"), ["anchors", "salt"]).groupBy("class", "id")
     lists = hits.agg(*[F.collect_list(F.col(c)).alias(c) for c in ("places", "first", "more")])
     found = texts.join(lists, (texts["class"] == lists["class"]) & (texts["doc_id"] == lists["id"]))
     once = found.select("id", lists["class"], "text", "places", "first", "more").dropDuplicates(["id", "class"])
