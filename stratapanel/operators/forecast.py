@@ -8,6 +8,7 @@ part of the key.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -84,7 +85,7 @@ def _kpss(series: DataFrame, keys: Sequence[str], column: str, longest: int) ->
         "__e",
         F.sum("__e").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("__s"),
         *[
-            F.when(F.col("__l") >= k, (1 - k / (F.col("__l") + 1)) * F.lag("__e", k).over(order)).alias(f"__w{k}")
+            F.when(F.col("__l") >= k, (1 - k / (F.col("__l") + 1)) * lag_of("__e", k, keys)).alias(f"__w{k}")
             for k in range(1, longest + 1)
         ],
     )
@@ -246,7 +247,8 @@ def arima_forecast(
     """ARIMA with automatic order: differences by unit-root test, AR and MA orders by AICc.
 
     Coefficients are the two-stage least squares of Hannan and Rissanen (1982): residuals of a
-    long autoregression stand in for the shocks of the ARMA regression.
+    long autoregression stand in for the shocks of the ARMA regression. Equations that need a
+    missing period are left out; a forecast starts from the last known values.
     """
     keys = list(keys)
     rows, models = _arima_fit(series, keys, most_ar, most_ma, long_ar)
@@ -292,13 +294,37 @@ def arima_residuals(
     return kept.where(F.col("value").isNotNull())
 
 
+def future_band(
+    ahead: np.ndarray, history: float, change: np.ndarray, sigma2: float, fitted: np.ndarray, seed: int, paths: int = 1000
+) -> tuple:
+    """10 % and 90 % points of a future trend around its straight continuation, by simulation.
+
+    Slopes go on changing as often as in the past (``change`` within ``history``), by Laplace draws of the past mean size;
+    the uncertainty of the ``fitted`` trend there (its covariance) and noise of variance ``sigma2`` are added. The draws
+    depend on the seed alone.
+    """
+    rng = np.random.default_rng(seed)
+    drift = np.zeros((paths, len(ahead)))
+    if len(ahead) and len(change) and history > 0:
+        counts = rng.poisson(len(change) / history * ahead[-1], paths)
+        owner = np.repeat(np.arange(paths), counts)
+        when, size = rng.uniform(0, ahead[-1], len(owner)), rng.laplace(0, float(np.abs(change).mean()) + 1e-12, len(owner))
+        for step, at in enumerate(ahead):
+            drift[:, step] = np.bincount(owner, size * np.maximum(at - when, 0.0), paths)
+    if len(ahead):
+        drift += rng.multivariate_normal(np.zeros(len(ahead)), fitted, paths, check_valid="ignore")
+    noisy = drift + rng.normal(0, math.sqrt(sigma2), drift.shape)
+    return tuple(np.quantile(noisy, [0.1, 0.9], axis=0)) if len(ahead) else (np.zeros(0), np.zeros(0))
+
+
 def changepoint_trend(
     series: DataFrame, keys: Sequence[str], h: int, changepoints: int = 25, history: float = 0.8, prior: float = 0.05
 ) -> DataFrame:
     """Piecewise-linear trend on the day axis with sparse changes of slope (Taylor & Letham 2018).
 
     ``series`` needs a date column ``ds``. Changes of slope have a Laplace prior, solved as a
-    reweighted ridge regression. A group is one series of one row per period.
+    reweighted ridge regression. A group is one series of one row per period. The band holds 80 %
+    of the noise, and beyond the last period of simulated further changes too: see ``future_band``.
     """
     keys = list(keys)
     fields = series.select(*keys).schema
@@ -331,7 +357,11 @@ def changepoint_trend(
         change, sigma2 = beta[2:], max(float(np.mean((y - x @ beta) ** 2)), 1e-8)
         yhat, band = design @ beta * size, Z_900 * math.sqrt(sigma2) * size
         out = pd.DataFrame({"ds": everything.date, "fitted": np.arange(len(days)) < n, "yhat": yhat})
-        out["yhat_lower"], out["yhat_upper"] = out["yhat"] - band, out["yhat"] + band
+        low, high = np.full(len(days), -band), np.full(len(days), band)
+        seed = zlib.crc32("|".join(str(group[key].iloc[0]) for key in keys).encode())
+        spread = design[n:] @ np.linalg.inv(x.T @ x / sigma2 + penalty) @ design[n:].T
+        low[n:], high[n:] = (v * size for v in future_band(t[n:] - t[n - 1], t[inside - 1], change, sigma2, spread, seed))
+        out["yhat_lower"], out["yhat_upper"] = out["yhat"] + low, out["yhat"] + high
         out["n_changes"] = int(np.sum(np.abs(change) > 1e-3))
         for key in keys:
             out[key] = group[key].iloc[0]

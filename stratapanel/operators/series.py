@@ -1,7 +1,9 @@
 """Many time series at once: ``(series keys, t, value)`` with one row per period.
 
 Facts are summed to one row per series and period first, so a series is never longer than the
-calendar, however many facts it has; windows over a series are bounded by that.
+calendar, however many facts it has; windows over a series are bounded by that. ``t`` is calendar time:
+a period without facts between the first and the last is a row with a missing value, and a lag
+means the period so many steps before, not the row.
 """
 
 from __future__ import annotations
@@ -16,11 +18,31 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from stratapanel.functions.distributions import chi_square_upper_p
 
 
-def to_series(facts: DataFrame, keys: Sequence[str], period: Column, value: Column) -> DataFrame:
-    """Aggregate facts to one row per period and number the periods ``t`` from 1."""
+#: Whole number of a period, and the period so many steps on.
+CALENDARS = {
+    "year": (lambda p: F.year(p), lambda p, i: F.add_months(p, i * 12)),
+    "month": (lambda p: F.year(p) * 12 + F.month(p), lambda p, i: F.add_months(p, i)),
+    "day": (lambda p: F.unix_date(p), lambda p, i: F.date_add(p, i)),
+    "number": (lambda p: p, lambda p, i: p + i),
+}
+
+
+def to_series(facts: DataFrame, keys: Sequence[str], period: Column, value: Column, unit: str = "month") -> DataFrame:
+    """Aggregate facts to one row per period, ``t`` from 1 at the first one of the series.
+
+    ``period`` is the start of a period as a date, or a whole number (``unit="number"``). Periods without facts up to the
+    last one are added with a missing value: each row brings those that follow it, so nothing is joined.
+    """
+    number, further = CALENDARS[unit]
     sums = facts.groupBy(*keys, period.alias("period")).agg(value.alias("value"))
     order = Window.partitionBy(*keys).orderBy("period")
-    return sums.withColumn("t", F.row_number().over(order))
+    at = number(F.col("period"))
+    gap = F.coalesce(F.lead(at).over(order) - at, F.lit(1)).cast("int")
+    placed = sums.withColumn("__gap", gap).withColumn("t", (at - F.min(at).over(Window.partitionBy(*keys)) + 1).cast("int"))
+    rows = placed.where(F.col("period").isNotNull()).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__gap") - 1)))
+    return rows.select(
+        *keys, further(F.col("period"), F.col("__i")).alias("period"), F.when(F.col("__i") == 0, F.col("value")).alias("value"), (F.col("t") + F.col("__i")).alias("t")
+    )
 
 
 def split_at(series: DataFrame, last: object, period: str = "period") -> tuple[DataFrame, DataFrame]:
@@ -64,19 +86,25 @@ def by_time(keys: Sequence[str]):
 
 
 def lag_of(value: str, k: int, keys: Sequence[str]) -> Column:
-    return F.lag(value, k).over(by_time(keys))
+    """The value ``k`` periods before; missing if that period has no row or no value."""
+    return F.max(value).over(by_time(keys).rangeBetween(-k, -k))
 
 
 def autocorrelation(series: DataFrame, keys: Sequence[str], max_lag: int) -> DataFrame:
-    """Autocorrelations as ``(keys, n, acf)`` with ``acf[k]`` at lag ``k``; lag 0 is 1."""
+    """Autocorrelations as ``(keys, n, acf)`` with ``acf[k]`` at lag ``k``; lag 0 is 1.
+
+    Of ``n`` known values those count that have a known partner ``k`` periods before. The sum over these pairs is divided by
+    their number plus ``k``, which is ``n`` for a series without gaps.
+    """
     centred = series.withColumn("__x", F.col("value") - F.avg("value").over(Window.partitionBy(*keys)))
-    lagged = centred.select(
-        *keys, "__x", *[F.lag("__x", k).over(by_time(keys)).alias(f"__l{k}") for k in range(1, max_lag + 1)]
-    )
+    lagged = centred.select(*keys, "__x", *[lag_of("__x", k, keys).alias(f"__l{k}") for k in range(1, max_lag + 1)])
     sums = lagged.groupBy(*keys).agg(
         F.count("__x").alias("n"),
-        F.sum(F.col("__x") * F.col("__x")).alias("__c0"),
-        *[F.sum(F.col("__x") * F.col(f"__l{k}")).alias(f"__c{k}") for k in range(1, max_lag + 1)],
+        F.avg(F.col("__x") * F.col("__x")).alias("__c0"),
+        *[
+            (F.sum(F.col("__x") * F.col(f"__l{k}")) / (F.count(F.col("__x") * F.col(f"__l{k}")) + k)).alias(f"__c{k}")
+            for k in range(1, max_lag + 1)
+        ],
     )
     ratios = [F.try_divide(f"__c{k}", "__c0") for k in range(max_lag + 1)]
     return sums.select(*keys, "n", F.array(*ratios).alias("acf"))
@@ -177,7 +205,7 @@ def adf_test(series: DataFrame, keys: Sequence[str]) -> DataFrame:
         "__d", F.col("value") - F.col("__level")
     )
     lags = [
-        F.when(F.col("__k") < k, F.lit(0.0)).otherwise(F.lag("__d", k).over(by_time(keys))).alias(f"__d{k}")
+        F.when(F.col("__k") < k, F.lit(0.0)).otherwise(lag_of("__d", k, keys)).alias(f"__d{k}")
         for k in range(1, longest + 1)
     ]
     rows = diffed.select(*keys, "__k", "__n", "__d", "__level", "t", *lags)
