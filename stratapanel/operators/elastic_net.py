@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from stratapanel.operators.classify import RAPID, SLOW, draw_parameters, stratified_folds, with_target
 from stratapanel.operators.metrics import confusion
+from stratapanel.operators.partials import BLOCK, SCHEMA, added, emitted, total as total_of
 from stratapanel.operators.ranks import position_by_hash
 from stratapanel.session import materialize
 
-#: Fits whose sums travel together, and numbers a task holds at a time.
-BLOCK, CHUNK = 250, 2_000_000
+#: Numbers a task holds at a time.
+CHUNK = 2_000_000
 #: At rest when no coefficient moves by more; a fit that never does is reported as such.
 TOLERANCE, PASSES = 1e-7, 60
 
@@ -72,28 +73,6 @@ def _parts(batches: Iterator[pd.DataFrame], features: list[str], mean: np.ndarra
             yield np.column_stack((np.ones(len(x[part])), x[part])), y[part], folds[part]
 
 
-def _summed(table: np.ndarray) -> pd.DataFrame:
-    starts = range(0, len(table), BLOCK)
-    return pd.DataFrame({"block": list(starts), "sums": [table[s : s + BLOCK].tobytes() for s in starts]})
-
-
-def _added(frame: pd.DataFrame, width: int) -> np.ndarray:
-    return sum(np.frombuffer(b).reshape(-1, width) for b in frame["sums"])
-
-
-def _total(df: DataFrame, work, size: int, width: int) -> np.ndarray:
-    """The sum over all tasks of the table that each makes of its rows; added up by block on the way."""
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": frame["block"][:1], "sums": [_added(frame, width).tobytes()]})
-
-    schema = "block int, sums binary"
-    out = np.zeros((size, width))
-    for row in df.mapInPandas(work, schema).groupBy("block").applyInPandas(add, schema).collect():
-        out[row["block"] : row["block"] + BLOCK] = np.frombuffer(row["sums"]).reshape(-1, width)
-    return out
-
-
 def _descent(h: np.ndarray, g: np.ndarray, start: np.ndarray, l1: np.ndarray, l2: np.ndarray) -> np.ndarray:
     """Minimises b'hb/2 - g'b plus the penalties for a stack of problems; the first coefficient is free.
 
@@ -134,9 +113,9 @@ def _scales(df: DataFrame, features: list[str], held: np.ndarray, mean: np.ndarr
         total = np.zeros((len(held), 2 * p + 1))
         for x, _, folds in _parts(batches, features, mean, sd, len(held)):
             total += _inside(folds, held).T.astype(float) @ np.column_stack((x, x[:, 1:] ** 2))
-        yield _summed(total)
+        yield emitted(total)
 
-    sums = _total(df, work, len(held), 2 * p + 1)
+    sums = total_of(df, work, len(held), 2 * p + 1)
     n = sums[:, 0]
     centre = sums[:, 1 : p + 1] / n[:, None]
     variance = np.maximum(sums[:, p + 1 :] - n[:, None] * centre**2, 0.0) / np.maximum(n - 1, 1)[:, None]
@@ -194,10 +173,10 @@ def fit_all(df: DataFrame, features: Sequence[str], fits: Sequence[Fit]) -> Solu
                 total[:, : len(upper[0])] += (chance * (1 - chance) * inside).T @ (x[:, upper[0]] * x[:, upper[1]])
                 total[:, len(upper[0]) : -1] += ((y[:, None] - chance) * inside).T @ x
                 total[:, -1] += ((np.logaddexp(0.0, eta) - y[:, None] * eta) * inside).sum(axis=0)
-            yield _summed(total)
+            yield emitted(total)
 
         def solve(frame: pd.DataFrame) -> pd.DataFrame:
-            table, start = _added(frame, width), int(frame["block"].iloc[0])
+            table, start = added(frame, width), int(frame["block"].iloc[0])
             _, _, maps, beta, before, value, l1, l2, n = (v[start : start + BLOCK] for v in shared.value)
             table = table / n[:, None]
             h = np.zeros((len(table), p + 1, p + 1))
@@ -213,8 +192,7 @@ def fit_all(df: DataFrame, features: Sequence[str], fits: Sequence[Fit]) -> Solu
             kept = np.column_stack((np.where(worse, value, now), np.where(worse[:, None], before, beta), new, moved))
             return pd.DataFrame({"block": [start], "sums": [kept.tobytes()]})
 
-        schema = "block int, sums binary"
-        for row in df.mapInPandas(sums, schema).groupBy("block").applyInPandas(solve, schema).collect():
+        for row in df.mapInPandas(sums, SCHEMA).groupBy("block").applyInPandas(solve, SCHEMA).collect():
             at = todo[row["block"] : row["block"] + BLOCK]
             table = np.frombuffer(row["sums"]).reshape(len(at), 2 * p + 4)
             value[at], before[at], beta[at] = table[:, 0], table[:, 1 : p + 2], table[:, p + 2 : 2 * p + 3]
@@ -242,9 +220,9 @@ def held_out_counts(df: DataFrame, features: Sequence[str], fits: Sequence[Fit],
             yes = y[:, None] > 0.5
             for k, hit in enumerate((said & yes, said & ~yes, ~said & yes, ~said & ~yes)):
                 total[:, k] += (hit & test).sum(axis=0)
-        yield _summed(total)
+        yield emitted(total)
 
-    return _total(df, work, len(fits), 4)
+    return total_of(df, work, len(fits), 4)
 
 
 def _f1(counts: np.ndarray) -> np.ndarray:

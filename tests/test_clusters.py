@@ -223,3 +223,20 @@ def test_grid_search_scores_and_ranking(spark):
     assert row.silhouette == pytest.approx(brute_silhouette(y, truth, 2)) and row.db_index == pytest.approx(brute_db(y, truth))
     best = grid.rank_configurations(found).first()
     assert best.features == ["x0", "x1"] and best.num_clusters == 3
+
+
+def test_starts_settle_on_a_summary_of_all_rows(spark):
+    """The summary keeps counts and means; the best fit is no worse than plain restarts on all rows."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(c, 0.4, (150, 2)) for c in ((0, 0), (2, 1), (1, 3), (4, 3))])
+    df, dims, _ = frame(spark, x)
+    points, weights = kmeans.weighted_summary(df, dims)
+    assert weights.sum() == len(x) and len(weights) <= kmeans.SUMMARY
+    assert np.average(points, axis=0, weights=weights) == pytest.approx(x.mean(axis=0))
+    centres = kmeans.kmeans_restarts(df, dims, 4)
+    cost = lambda c: ((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum()
+    plain = min(cost(kmeans.lloyd(x, np.ones(len(x)), x[rng.permutation(len(x))[:4]])) for _ in range(25))
+    assert cost(centres) <= plain * (1 + 1e-6)
+    assert kmeans.costs_many(df, dims, {7: centres})[7] == pytest.approx(cost(centres))
+    wide = frame(spark, rng.normal(size=(60, 14)))
+    assert len(kmeans.weighted_summary(wide[0], wide[1])[1]) == 0 and kmeans.kmeans_restarts(wide[0], wide[1], 2).shape == (2, 14)
