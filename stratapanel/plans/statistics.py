@@ -91,13 +91,13 @@ def distinct_count_group(spark, sf):
 @query("weighted_overall_mean", PANEL_SQL + """, g AS (SELECT income_group, year, avg(domestic) AS year_mean FROM panel JOIN info USING (entity) GROUP BY 1, 2),
 c AS (SELECT income_group, count(DISTINCT entity) AS n FROM info GROUP BY 1),
 o AS (SELECT year, sum(year_mean * n) / sum(CASE WHEN year_mean IS NOT NULL THEN n END) AS overall_mean FROM g JOIN c USING (income_group) GROUP BY 1)
-SELECT income_group, year::BIGINT AS year, round(year_mean, 4) AS year_mean, round(overall_mean, 4) AS overall_mean FROM g JOIN o USING (year)""")
+SELECT income_group, year::BIGINT AS year, round(year_mean, 4) AS year_mean, round(overall_mean, 4) AS overall_mean FROM g JOIN o USING (year) ORDER BY 1 NULLS FIRST, 2""")
 def weighted_overall_mean(spark, sf):
     rows = _grouped(spark, sf, ["domestic"])
     by_group = groupstats.group_means(rows, ["income_group", "year"], ["domestic"]).withColumnRenamed("domestic", "year_mean")
     sizes = groupstats.distinct_members(rows, ["income_group"], "entity")
     final = groupstats.weighted_overall_mean(by_group, sizes, "income_group", "year_mean", "n")
-    return final.select("income_group", _year(), F.round("year_mean", 4).alias("year_mean"), F.round("overall_mean", 4).alias("overall_mean"))
+    return final.select("income_group", _year(), F.round("year_mean", 4).alias("year_mean"), F.round("overall_mean", 4).alias("overall_mean")).orderBy("income_group", "year")
 
 
 @query("group_sum_desc", PANEL_SQL + "SELECT region, round(sum(snapshot), 2) AS total FROM info WHERE region IS NOT NULL AND snapshot IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1")

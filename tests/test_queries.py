@@ -38,3 +38,9 @@ def test_scan_reads_only_the_needed_columns(spark, name):
     panel_scan = next(line for line in plan.splitlines() if "FileScan parquet" in line and "entity" in line)
     assert "ReadSchema" in panel_scan and "gdppc:double,industry" not in panel_scan
     assert sum(f"{c}:double" in panel_scan for c in ("withdrawals", "productivity", "industry", "population")) <= 2
+
+
+def test_sorted_by_group_and_year(spark, db):
+    """In order as SQL gives it, not only as a set."""
+    mine = [(r.income_group, r.year) for r in QUERIES["weighted_overall_mean"](spark, SF).collect()]
+    assert len(mine) > 5 and mine == [r[:2] for r in db.execute(ORACLES["weighted_overall_mean"]).fetchall()]
