@@ -28,8 +28,10 @@ TREES, BRANCHES, DEPTH = 6, 2, 5
 STOP = 0.3
 #: Documents of a node that is compared exhaustively, and of a group that is confirmed in one task.
 NODE, GROUP = 64, 128
-#: Documents of a large group that all its parts share, and of a block of those compared with every part afterwards.
+#: Documents of a large group that all its parts share, and of a block where a key of the index is too large.
 PIVOTS, REST = 16, 256
+#: The sizes at which the bands of sizes start that the index on full sets keeps apart.
+_BANDS = np.unique(np.ceil(1.05 ** np.arange(600)).astype(np.int64))
 #: Signatures of the pivots of large nodes are broadcast up to so many nodes (256 bytes each).
 BROADCAST_PIVOTS = 20_000
 #: Minwise values of a signature, and how many must agree for a pair to be confirmed on the full sets: at
@@ -253,15 +255,56 @@ def _confirm_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         a, b = [], []
         for start, end in _runs(keys):
             sets = _Sets(texts.slice(start, end - start).to_pylist())
-            marked, parts = rest[start:end], label[start:end]
-            for one in np.flatnonzero(marked).tolist():
-                linked = np.flatnonzero(sets.like(one, ~marked & (parts != parts[one])))
-                for other in np.unique(parts[linked], return_index=True)[1].tolist():
-                    a.append(int(ids[start + one]))
-                    b.append(int(ids[start + linked[other]]))
+            parts = label[start:end].copy()
+            for one in np.flatnonzero(rest[start:end]).tolist():
+                others = parts != parts[one]
+                linked = np.flatnonzero(sets.like(one, others)) if others.any() else []
+                for other in linked:
+                    if parts[other] != parts[one]:
+                        a.append(int(ids[start + one]))
+                        b.append(int(ids[start + other]))
+                        parts[parts == parts[other]] = parts[one]
         yield _pairs(a, b)
 
 
+def _least_shared(size: int, other: int) -> int:
+    """Shingles that sets of two sizes must share to be linked."""
+    return -(-SIMILARITY * (size + other) // (100 + SIMILARITY))
+
+
+def _list_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            shingles = shingle_set(batch.column("text")[k].as_py())
+            row = int.from_bytes(set_key(shingles)[:8], "little", signed=True)
+            columns = [batch.column("id").slice(k, 1), pa.array([row]), batch.column("component").slice(k, 1), pa.array([len(shingles)]), pa.array([shingles.view(np.int64)], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "component", "size", "shingles"])
+
+
+_KEY = "key bigint, id bigint, component bigint, label bigint, rest boolean"
+
+
+def _prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each band of sizes that a link may reach, the rarest shingles of a set one of which a link must share.
+
+    ``shared`` lists what other sets of the component hold as well, rarest first; the rest of a set comes before it.
+    """
+    for batch in batches:
+        for k in range(batch.num_rows):
+            size, component = batch.column("size")[k].as_py(), np.uint64(batch.column("component")[k].as_py() & (2**64 - 1))
+            shared = batch.column("shared")[k].values.to_numpy()
+            least, most = -(-SIMILARITY * size // 100), 100 * size // SIMILARITY
+            own, first, last = (int(np.searchsorted(_BANDS, x, "right")) - 1 for x in (size, least, most))
+            found = []
+            for band in range(first, last + 1):
+                prefix = size - _least_shared(size, max(int(_BANDS[band]), least)) + 1
+                limit = max(prefix - (size - len(shared)), 0)
+                found.append(_mixed(component, min(own, band), max(own, band), shared[:limit]).view(np.int64))
+            keys = np.unique(np.concatenate(found))
+            kept = [batch.column(name).take(pa.array(np.full(len(keys), k))) for name in ("id", "component", "label", "rest")]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *kept], names=["key", "id", "component", "label", "rest"])
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For the edges of one task, each id with the smallest id reachable over them; itself left out."""
     parent: dict[int, int] = {}
@@ -367,7 +410,7 @@ def confirmed_links(candidates: DataFrame, texts: DataFrame) -> DataFrame:
 
     ``candidates`` holds ``id`` and ``component`` of the candidate pairs, ``texts`` ``id`` and ``text``. A component of up to
     ``GROUP`` documents is one group. A larger one is dealt into parts that share a few pivots; documents not
-    connected with the main part that way are compared, in blocks, with every part.
+    connected with the main part that way are looked up in an index on the full sets.
     """
     sizes = candidates.groupBy("component").agg(F.count("*").alias("n"))
     rows = cut(candidates.join(sizes, "component").select("id", "component", "n", F.ceil(F.col("n") / GROUP).cast("int").alias("parts")))
@@ -381,16 +424,54 @@ def confirmed_links(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     if large.isEmpty():
         return links
     label = F.coalesce("label", "id").alias("label")
-    labelled = large.join(components(links).withColumnRenamed("component", "label"), "id", "left").select("id", "component", "parts", label)
+    labelled = large.join(components(links).withColumnRenamed("component", "label"), "id", "left").select("id", "component", label)
     counts = labelled.groupBy("component", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("component").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"))
-    labelled = cut(labelled.join(main, "component").withColumn("rest", F.col("label") != F.col("main")).withColumn("blocks", F.ceil((F.col("total") - F.col("most")) / REST).cast("int")).withColumn("parts", F.ceil(F.col("total") / REST).cast("int")))
-    rest = labelled.filter("rest")
-    parts_of = rest.select("id", "component", "label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("place"), F.floor(_spread(F.col("id"), 3) * F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("rest"))
-    all_rows = labelled.filter("blocks > 0").select("id", "component", "label", own.alias("place"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("rest"))
-    blocks = parts_of.unionAll(all_rows).select("id", "label", "rest", F.xxhash64("component", "place", "block").alias("part"))
-    compared = _sorted_by(blocks.join(texts, "id").select("part", "id", "label", "rest", "text"), "part")
-    return links.unionAll(cut(compared.mapInArrow(_confirm_rest, "a bigint, b bigint")))
+    main = counts.groupBy("component").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("labels")).filter("labels > 1")
+    labelled = cut(labelled.join(main, "component").select("id", "component", "label", (F.col("label") != F.col("main")).alias("rest")))
+    return links if labelled.isEmpty() else links.unionAll(links_by_prefix(labelled, texts))
+
+
+def links_by_prefix(labelled: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``a``, ``b`` between documents of unequal ``label``, one of them ``rest``, that connect what all such links connect.
+
+    An index on the full sets: within a ``component`` the rarest shingles come first, and two sets can be linked only if
+    they share one of so many of the first. Documents that share none with another label are out; without them more
+    shingles are rare, so this is repeated as long as it helps. What is left is compared key by key or, where these
+    groups hold more rows in all, component by component; groups of more than ``GROUP`` documents in blocks.
+    """
+    sets = cut(labelled.select("id", "component").join(texts, "id").mapInArrow(_list_sets, "id bigint, row bigint, component bigint, size bigint, shingles array<bigint>"))
+    left = labelled.count()
+    while True:
+        each = sets.select("id", "row", "component", "size", F.explode("shingles").alias("shingle"))
+        often = each.groupBy("component", "shingle").agg(F.count("*").alias("n")).filter("n > 1")
+        ordered = F.transform(F.sort_array(F.collect_set(F.struct("n", "shingle"))), lambda x: x["shingle"]).alias("shared")
+        lists = each.join(often, ["component", "shingle"]).groupBy("id", "row").agg(F.first("size").alias("size"), ordered)
+        keys = cut(lists.join(labelled, "id").select("id", "component", "size", "label", "rest", "shared").mapInArrow(_prefix_keys, _KEY))
+        alike = [F.count("*").alias("n"), F.count_if("rest").alias("n_rest"), F.bit_xor(F.xxhash64("id")).alias("met"), F.min("label").alias("low"), F.max("label").alias("high")]
+        stats = cut(keys.groupBy("key", "component").agg(*alike).filter("n_rest > 0 and low < high"))
+        alive = cut(keys.join(stats.select("key"), "key").select("id", "component", "label", "rest").distinct())
+        before, left = left, alive.count()
+        if left == 0 or left > 0.9 * before:
+            break
+        sets = sets.join(alive.select("id"), "id", "left_semi")
+    blocks = F.when(F.col("n") <= GROUP, 0).otherwise(F.ceil(F.col("n_rest") / REST)).cast("int").alias("blocks")
+    parts = F.ceil(F.col("n") / REST).cast("int").alias("parts")
+    cost = F.when(F.col("blocks") == 0, F.col("n")).otherwise(F.col("n") * F.col("blocks") + F.col("n_rest") * F.col("parts"))
+    by_key = stats.groupBy("component", "n", "n_rest", "met").agg(F.min("key").alias("key")).select("component", "key", "n", "n_rest", parts, blocks)
+    at_once = alive.groupBy("component").agg(F.count("*").alias("n"), F.count_if("rest").alias("n_rest")).select("component", parts, blocks, "n", "n_rest")
+    dearer = by_key.groupBy("component").agg(F.sum(cost).alias("rows")).join(at_once.select("component", cost.alias("rows_at_once")), "component")
+    dearer = cut(dearer.filter("rows > rows_at_once").select("component"))
+    columns = ["key", "id", "label", "rest", "parts", "blocks"]
+    rows = keys.join(by_key.join(dearer, "component", "left_anti").drop("component"), "key").select(columns)
+    rows = cut(rows.unionAll(alive.join(at_once.join(dearer, "component"), "component").withColumn("key", F.col("component")).select(columns)))
+    whole = rows.filter("blocks = 0").select("id", "label", "rest", F.xxhash64("key").alias("part"))
+    blocked = rows.filter("blocks > 0")
+    place, block = (F.floor(_spread(F.col("id"), seed) * F.col(n)).cast("int") for seed, n in ((1, "parts"), (3, "blocks")))
+    asking = blocked.filter("rest").select("key", "id", "label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("place"), block.alias("block"), F.lit(True).alias("rest"))
+    asked = blocked.select("key", "id", "label", place.alias("place"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("rest"))
+    blocks = asking.unionAll(asked).select("id", "label", "rest", F.xxhash64("key", "place", "block").alias("part"))
+    compared = _sorted_by(whole.unionAll(blocks).join(texts, "id").select("part", "id", "label", "rest", "text"), "part")
+    return cut(compared.mapInArrow(_confirm_rest, "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
