@@ -196,6 +196,19 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert near_duplicates.near_duplicates(docs.filter("text is null")).count() == 1
 
 
+def test_rows_of_large_families_grow_about_in_proportion(spark, monkeypatch):
+    sort, rows = near_duplicates._sorted_by, []
+    monkeypatch.setattr(near_duplicates, "_sorted_by", lambda df, key: rows.append(df.count()) or sort(df, key))
+    grouped = []
+    for n in (300, 600):
+        rows.clear()
+        texts = list(enumerate(family(n, 100, 10, 3)))
+        found = near_duplicates.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == components_by_hand(texts)
+        grouped.append(sum(rows))
+    assert grouped[1] <= 3 * grouped[0]
+
+
 @pytest.mark.parametrize("limit", [500_000, 40])
 def test_components(spark, monkeypatch, limit):
     monkeypatch.setattr(near_duplicates, "EDGES", limit)
@@ -240,3 +253,20 @@ def test_stages_take_awkward_documents(spark, stage):
     for part in (rows, rows[:0]):
         out = stage[1](spark, spark.createDataFrame(part, schema), SF)
         assert out.columns and (out.count() > 0) == (bool(part) and stage[0] != "quality rules")
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES[:-1], ids=lambda s: s[0])
+def test_stages_pass_on_columns_of_any_name(spark, stage):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, taken_copies long, taken_id long, kept string, `a.b` int"
+    text = " ".join(words(200, 1))
+    docs = spark.createDataFrame([(k, f"{text} {k}", "en", "s", 1, 5, 6, "x", 7) for k in range(3)], schema)
+    out = stage[1](spark, docs, SF)
+    assert out.columns == docs.columns
+    assert all(tuple(r)[2:] == ("en", "s", 1, 5, 6, "x", 7) for r in out.collect())
+
+
+def test_copies_without_id_go(spark):
+    text, other = " ".join(words(60, 1)), " ".join(words(60, 2))
+    rows = [(4, text), (None, text), (None, text), (None, other), (None, other), (None, None), (None, " "), (7, "")]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(4, text), (None, other), (None, None), (None, " "), (7, "")]))
