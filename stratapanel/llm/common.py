@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,10 +31,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
 
+_open_scratch: list[list[DataFrame]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and goes on from there; Spark removes them with the frame."""
+    """Writes the rows to the shared folder and goes on from there; inside of ``scratch`` they go when it ends."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if _open_scratch:
+        _open_scratch[-1].append(out)
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A stretch of work whose ``cut`` tables are deleted when it ends, failed or not; the function it gives cuts a table that stays."""
+    shared_folder(spark)
+    _open_scratch.append([])
+    try:
+        yield lambda df: df.checkpoint(eager=True)
+    finally:
+        for table in _open_scratch.pop():
+            if (folder := table._jdf.queryExecution().logical().rdd().getCheckpointFile()).isDefined():
+                remove_folder(spark, folder.get())
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import cut
+from stratapanel.llm.common import cut, scratch
 
 #: Two documents are linked if 100 |A and B| >= SIMILARITY |A or B|.
 SHINGLE, SIMILARITY = 5, 75
@@ -190,7 +190,7 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How much of a document's signature agrees with that of its node's pivot."""
     for batch in batches:
         own, pivot = (_signatures(pa.chunked_array([batch.column(k)])) if batch.num_rows else np.zeros((0, VALUES), np.uint16) for k in (3, 4))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array((own == pivot).mean(axis=1) if batch.num_rows else np.zeros(0))], names=["node", "id", "least", "signature", "share"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((own == pivot).mean(axis=1) if batch.num_rows else np.zeros(0))], names=["node", "id", "least", "share"])
 
 
 class _Sets:
@@ -273,12 +273,14 @@ def _least_shared(size: int, other: int) -> int:
 
 
 def _list_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets with a number of their own (``row``) for each id and set; a shingle has another number in each component."""
     for batch in batches:
         for k in range(batch.num_rows):
             shingles = shingle_set(batch.column("text")[k].as_py())
-            row = int.from_bytes(set_key(shingles)[:8], "little", signed=True)
-            columns = [batch.column("id").slice(k, 1), pa.array([row]), batch.column("component").slice(k, 1), pa.array([len(shingles)]), pa.array([shingles.view(np.int64)], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "component", "size", "shingles"])
+            component, id_ = (np.uint64(batch.column(name)[k].as_py() & (2**64 - 1)) for name in ("component", "id"))
+            row = _mixed(id_, np.frombuffer(set_key(shingles)[:8], np.uint64)).view(np.int64)
+            columns = [batch.column("id").slice(k, 1), pa.array(row), pa.array([len(shingles)]), pa.array([_mixed(component, shingles).view(np.int64)], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "size", "shingles"])
 
 
 _KEY = "key bigint, id bigint, component bigint, label bigint, rest boolean"
@@ -327,7 +329,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``id``, ``component`` (smallest id reachable) for the ids of undirected edges ``a``, ``b``.
 
     Each round first joins up what the edges of one task connect (at most about ``EDGES`` of them), then links
-    neighbours to the smallest neighbour across tasks by a large and a small star, until nothing changes. Smallest
+    neighbours to the smallest neighbour across tasks by a large and a small star, until nothing changes; where the
+    edges left fit in one task, that is all. Smallest
     neighbours are aggregated before they are joined back, so a star of any size is split.
     """
 
@@ -344,7 +347,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     while True:
-        e = cut(e.coalesce(1 + e.count() // EDGES).mapInArrow(_forest, "a bigint, b bigint"))
+        tasks = 1 + e.count() // EDGES
+        e = cut(e.coalesce(tasks).mapInArrow(_forest, "a bigint, b bigint"))
+        if tasks == 1:
+            linked = e
+            break
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         linked = cut(stars(stars(both, small=False), small=True))
         if state(linked) == state(e):
@@ -379,13 +386,13 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
         if many.count() <= BROADCAST_PIVOTS:
             pivots = F.broadcast(pivots)
         large = entries.join(many, "node").join(signatures_below, "id").join(pivots, "least")
-        agreed = cut(large.select("node", "id", "least", "signature", "pivot").mapInArrow(_agreement, "node bigint, id bigint, least bigint, signature binary, share double"))
+        agreed = cut(large.select("node", "id", "least", "signature", "pivot").mapInArrow(_agreement, "node bigint, id bigint, least bigint, share double"))
         alike = agreed.groupBy("node").agg(F.avg("share").alias("share"))
         done = alike.filter(F.col("share") >= (STOP if depth < DEPTH else 0.0)).select("node")
         pairs.append(agreed.join(done, "node").select(F.col("id").alias("a"), F.col("least").alias("b")))
         if depth == DEPTH:
             break
-        open_rows = agreed.join(alike.filter(F.col("share") < STOP).select("node"), "node")
+        open_rows = agreed.join(alike.filter(F.col("share") < STOP).select("node"), "node").join(signatures_below, "id")
         entries = cut(open_rows.select("node", "id", "signature").mapInArrow(_branch, "node bigint, id bigint"))
     members = None
     for level in small:
@@ -439,13 +446,13 @@ def links_by_prefix(labelled: DataFrame, texts: DataFrame) -> DataFrame:
     shingles are rare, so this is repeated as long as it helps. What is left is compared key by key or, where these
     groups hold more rows in all, component by component; groups of more than ``GROUP`` documents in blocks.
     """
-    sets = cut(labelled.select("id", "component").join(texts, "id").mapInArrow(_list_sets, "id bigint, row bigint, component bigint, size bigint, shingles array<bigint>"))
+    sets = cut(labelled.select("id", "component").join(texts, "id").mapInArrow(_list_sets, "id bigint, row bigint, size bigint, shingles array<bigint>"))
     left = labelled.count()
     while True:
-        each = sets.select("id", "row", "component", "size", F.explode("shingles").alias("shingle"))
-        often = each.groupBy("component", "shingle").agg(F.count("*").alias("n")).filter("n > 1")
+        each = sets.select("row", F.explode("shingles").alias("shingle"))
+        often = each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
         ordered = F.transform(F.sort_array(F.collect_set(F.struct("n", "shingle"))), lambda x: x["shingle"]).alias("shared")
-        lists = each.join(often, ["component", "shingle"]).groupBy("id", "row").agg(F.first("size").alias("size"), ordered)
+        lists = each.join(often, "shingle").groupBy("row").agg(ordered).join(sets.select("row", "id", "size").distinct(), "row")
         keys = cut(lists.join(labelled, "id").select("id", "component", "size", "label", "rest", "shared").mapInArrow(_prefix_keys, _KEY))
         alike = [F.count("*").alias("n"), F.count_if("rest").alias("n_rest"), F.bit_xor(F.xxhash64("id")).alias("met"), F.min("label").alias("low"), F.max("label").alias("high")]
         stats = cut(keys.groupBy("key", "component").agg(*alike).filter("n_rest > 0 and low < high"))
@@ -487,9 +494,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = signed.filter(F.col("n_shingles") > 0)
     classes = known.groupBy("class").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"), F.first("signature").alias("signature"), F.first("nodes").alias("nodes"))
     classes = cut(classes.filter(F.col("id").isNotNull()))
-    candidates = components(candidate_pairs(classes))
     texts = slim.select(F.col("doc_id").alias("id"), "text").filter(F.col("text").isNotNull())
-    final = components(confirmed_links(candidates, texts))
+    with scratch(docs.sparkSession) as keep:
+        candidates = keep(components(candidate_pairs(classes)))
+    with scratch(docs.sparkSession) as keep:
+        final = keep(components(confirmed_links(candidates, texts)))
     found = classes.select("class", "id", "rows").join(final, "id", "left").select("class", "rows", "id", F.coalesce("component", "id").alias("component_id"))
     moved = found.filter((F.col("rows") > 1) | (F.col("component_id") != F.col("id"))).select("class", "component_id")
     out = signed.select("doc_id", "n_shingles", "class").join(moved, "class", "left")

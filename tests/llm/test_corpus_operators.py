@@ -1,5 +1,6 @@
 """Operators over the whole corpus: mixing, decontamination, near-duplicates, and the pipeline."""
 
+import os
 import random
 from itertools import combinations
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stratapanel.llm import decontaminate, mixing, near_duplicates, queries
+from stratapanel.llm import common, decontaminate, mixing, near_duplicates, queries
 from stratapanel.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -270,3 +271,20 @@ def test_copies_without_id_go(spark):
     rows = [(4, text), (None, text), (None, text), (None, other), (None, other), (None, None), (None, " "), (7, "")]
     out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(4, text), (None, other), (None, None), (None, " "), (7, "")]))
+
+
+def test_scratch_tables_go(spark):
+    def folders():
+        local = common.shared_folder(spark).removeprefix("file://")
+        return {path for path, _, files in os.walk(local) if any(f.startswith("part-") for f in files)}
+
+    before = folders()
+    with common.scratch(spark) as keep:
+        first = common.cut(spark.range(10))
+        assert folders() > before
+        kept = keep(first.filter("id > 6"))
+    assert kept.count() == 3 and len(folders() - before) == 1
+    with pytest.raises(ValueError), common.scratch(spark):
+        common.cut(spark.range(5))
+        raise ValueError
+    assert len(folders() - before) == 1
