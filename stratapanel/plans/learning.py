@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from stratapanel.operators import classify, derive, elastic_net, features, grid, groupstats, kmeans, metrics, pca, relations, scores
 from stratapanel.operators.dbscan import dbscan as density_clusters
@@ -254,6 +254,17 @@ def matrix(spark, sf):
     return features.feature_matrix(panel(spark, sf).where(F.col("year") <= 2000), FIVE, labels(spark, sf))
 
 
+_matrices: dict[tuple, DataFrame] = {}
+
+
+def stored_matrix(spark, sf) -> DataFrame:
+    """The feature matrix, written once a session for the models that read it many times."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _matrices:
+        _matrices[key] = materialize(matrix(spark, sf), "matrix")
+    return _matrices[key]
+
+
 BLOCK = [f"{c}_{s}" for c in FIVE for s in ("mean", "sd", "min", "max", "slope")]
 
 
@@ -341,7 +352,7 @@ def study(spark, sf) -> elastic_net.Study:
     """
     key = (spark.sparkContext.applicationId, sf)
     if key not in _studies:
-        found = elastic_net.nested_study(matrix(spark, sf), "entity", "label", BLOCK)
+        found = elastic_net.nested_study(stored_matrix(spark, sf), "entity", "label", BLOCK)
         found.predictions = materialize(found.predictions, "predictions")
         _studies[key] = found
     return _studies[key]
@@ -390,7 +401,7 @@ def importance_odds(spark, sf):
 @query("partial_dependence_model")
 def partial_dependence_model(spark, sf):
     """Mean predicted probability over twenty values of each of the three features of greatest effect."""
-    found, rows = study(spark, sf), matrix(spark, sf)
+    found, rows = study(spark, sf), stored_matrix(spark, sf)
     parts = []
     for row in classify.top(found.coefficients, "estimate", 3, "feature").collect():
         name = row["feature"]

@@ -99,3 +99,33 @@ def test_nested_study_equals_separate_searches(planted, data):
     assert accuracy > 0.75
     table = {r.feature: r for r in elastic_net.interpreted(study.coefficients).collect()}
     assert table["x0"].direction.endswith("Rapid_growth") and table["x1"].odds_ratio < 1 and max(r.importance for r in table.values()) == 100.0
+
+
+def test_fits_that_leave_out_a_fold_each_share_a_head_and_equal_fits_alone(data):
+    """Fits to folds start from the fit to all their rows and use its matrix; alone they have one of their own."""
+    settings = ((0.3, 1e-4), (0.9, 0.02), (0.0, 0.5))
+    fits = [Fit(m, r, (*outer, (place, fold))) for m, r in settings for outer in ((), ((0, 3),)) for place in (1, 2) for fold in range(1, 6)]
+    everything, head = elastic_net._families([*fits, Fit(*settings[0], ((0, 3),))])
+    assert len(everything) == len(fits) + 6 and (head[: len(fits)] >= 0).all() and (head[len(fits) :] == -1).all()
+    assert all(everything[h] == Fit(f.mix, f.reg, f.held[:-1]) for f, h in zip(fits, head))
+    together = elastic_net.fit_all(data, FEATURES, fits)
+    assert together.at_rest.all() and len(together.passes) == len(fits)
+    for k in (0, 7, 12, 23, 34, 41, 59):
+        alone = elastic_net.fit_all(data, FEATURES, [fits[k]])
+        assert together.scaled[k] == pytest.approx(alone.scaled[0], abs=1e-6) and together.raw[k] == pytest.approx(alone.raw[0], abs=1e-6)
+
+
+def test_a_fit_far_from_its_head_gets_a_matrix_of_its_own(spark):
+    """One fold holds nearly all positive rows, so the fit without it is far from the fit to all rows."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(400):
+        fold = k % 5 + 1
+        x = float(rng.normal() + (6 if fold == 1 else 0))
+        rows.append((float(rng.random() < (0.9 if fold == 1 else 0.05)), [fold], x, float(rng.normal())))
+    odd = spark.createDataFrame(rows, "y double, folds array<int>, a double, b double")
+    fits = [Fit(0.5, 1e-4, ((0, f),)) for f in range(1, 6)]
+    together = elastic_net.fit_all(odd, ["a", "b"], fits)
+    assert together.at_rest.all()
+    for k in range(5):
+        assert together.scaled[k] == pytest.approx(elastic_net.fit_all(odd, ["a", "b"], fits[k : k + 1]).scaled[0], abs=1e-6)
