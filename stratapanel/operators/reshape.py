@@ -69,8 +69,12 @@ def years_to_long(
 def to_wide(
     df: DataFrame, keys: Sequence[str], names_from: str, names: Sequence, values_from: str
 ) -> DataFrame:
-    """Long to wide with the names given, so no extra job looks for them."""
-    return df.groupBy(*keys).pivot(names_from, list(names)).agg(F.first(values_from, ignorenulls=True))
+    """Long to wide with the names given, so no extra job looks for them.
+
+    One conditional aggregate a name: a pivot would group by key and name first and shuffle twice.
+    """
+    value, given = F.col(values_from), F.col(names_from)
+    return df.groupBy(*keys).agg(*[F.first(F.when(given == F.lit(name), value), ignorenulls=True).alias(str(name)) for name in names])
 
 
 def tagged_union(frames: dict[str, DataFrame], tag: str = "category") -> DataFrame:

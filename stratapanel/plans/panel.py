@@ -21,6 +21,10 @@ INDICATORS = [
     "gdppc",
 ]
 FLAGS = {"agriculture": "A", "domestic": "N", "industry": "R"}
+#: Orders that one task joins to their line items.
+ORDERS_PER_TASK = 200_000
+#: Cells of the panel that one task makes or writes.
+CELLS_PER_TASK = 500_000
 
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -29,8 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items summed per order before they meet the orders."""
+def order_amounts(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:
+    """Line items summed per order before they meet the orders, in ``parts`` tasks; those without an order meet none."""
     price = F.col("l_extendedprice")
     shares = [
         F.sum(F.when(F.col("l_returnflag") == flag, price).otherwise(0.0)).alias(f"price_{name}")
@@ -38,6 +42,9 @@ def order_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     return (
         table(spark, sf_dir, "lineitem")
+        .where(F.col("l_orderkey").isNotNull())
+        .select("l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag")
+        .repartition(parts, "l_orderkey")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
         .agg(F.sum("l_quantity").alias("quantity"), F.sum(price).alias("price"), F.count(price).alias("n_lines"), *shares)
     )
@@ -48,11 +55,14 @@ def build_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The empty cells are added as rows without values ahead of the aggregation, so completing the
     grid costs no further shuffle. Sums are rounded to cents, which makes them the same whatever
-    the order of summation.
+    the order of summation. Orders and line items are dealt by order, and entities by row, into as many
+    parts as they need, so what a task sums and sorts does not grow with the tables. The years of
+    an entity come into one part, where readers sum them up before any shuffle.
     """
-    orders = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
-    first, last = orders.agg(F.min("year"), F.max("year")).first()
-    facts = orders.join(order_amounts(spark, sf_dir), "o_orderkey", "left").select(
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.year("o_orderdate").alias("year"))
+    first, last, n = orders.agg(F.min("year"), F.max("year"), F.count(F.lit(1))).first()
+    parts = n // ORDERS_PER_TASK + 1
+    facts = orders.repartition(parts, "o_orderkey").join(order_amounts(spark, sf_dir, parts), "o_orderkey", "left").select(
         F.col("o_custkey").alias("entity"),
         "year",
         "o_totalprice",
@@ -62,15 +72,16 @@ def build_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[f"price_{name}" for name in FLAGS],
         F.lit(1).alias("n"),
     )
-    cells = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("entity"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("year")
-    )
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"))
+    n_cells = people.count() * ((last or 0) - (first or 0) + 1)
+    cells = people.repartition(n_cells // CELLS_PER_TASK + 1).withColumn("year", F.explode(F.sequence(F.lit(first), F.lit(last))))
     sums = (
         facts.unionByName(cells, allowMissingColumns=True)
         .groupBy("entity", "year")
         .agg(*[F.round(F.sum(c), 2).alias(c) for c in facts.columns[2:]])
     )
-    return sums.select(
+    files = max(spark.sparkContext.defaultParallelism, n_cells // CELLS_PER_TASK + 1)
+    return sums.repartition(files, "entity").select(
         "entity",
         "year",
         F.col("o_totalprice").alias("withdrawals"),

@@ -122,3 +122,38 @@ def test_histogram_of_a_constant(spark):
     df = spark.createDataFrame([(1.0, 0.0), (1.0, 30.0), (1.0, 15.0)], "c double, v double")
     got = {(r.feature, r.bin): r.n for r in groupstats.histogram(df, ["c", "v"]).collect()}
     assert got == {("c", 1): 3, ("v", 1): 1, ("v", 16): 1, ("v", 30): 1}
+
+
+def test_the_panel_is_made_in_parts_that_follow_the_tables(spark, tmp_path, monkeypatch):
+    """Customers of one file and orders of few shuffle partitions are dealt out; the years of an entity stay in one part."""
+    from stratapanel.plans import panel
+
+    monkeypatch.setattr(panel, "CELLS_PER_TASK", 40)
+    monkeypatch.setattr(panel, "ORDERS_PER_TASK", 10)
+    people = [(k,) for k in range(100)] + [(None,), (7,)]
+    orders = [(k, k % 90, f"{1994 + k % 3}-05-01", 10.0 + k) for k in range(200)] + [(None, 3, "1995-01-01", 5.0), (500, None, "1996-01-01", 6.0)]
+    items = [(k % 150, 1.0 + k, 100.0 + k, "ANR"[k % 3]) for k in range(600)] + [(None, 9.0, 9.0, "A")]
+    for name, rows, schema in (("customer", people, "c_custkey long"), ("orders", orders, "o_orderkey long, o_custkey long, o_orderdate string, o_totalprice double"), ("lineitem", items, "l_orderkey long, l_quantity double, l_extendedprice double, l_returnflag string")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = panel.build_panel(spark, str(tmp_path)).withColumn("part", F.spark_partition_id()).collect()
+    assert len(found) == 101 * 3 and len({r.part for r in found}) > 4
+    parts = {}
+    for r in found:
+        parts.setdefault(r.entity, set()).add(r.part)
+        mine = [o for o in orders if o[1] == r.entity and o[2].startswith(str(r.year))]
+        lines = [i for i in items if i[0] is not None and i[0] in {o[0] for o in mine}]
+        price = sum(i[2] for i in lines)
+        assert r.withdrawals == (pytest.approx(sum(o[3] for o in mine)) if mine else None)
+        assert r.stress == (pytest.approx(sum(i[1] for i in lines)) if lines else None)
+        assert r.population == (pytest.approx(price) if lines else None)
+        assert r.agriculture == (pytest.approx(100 * sum(i[2] for i in lines if i[3] == "A") / price) if lines else None)
+    assert all(len(p) == 1 for p in parts.values())
+
+
+def test_a_wide_table_takes_one_shuffle(spark, capsys):
+    rows = [(1, "a", None), (1, "a", 2.0), (1, "b", 3.0), (None, "b", 4.0), (2, "c", 5.0), (3, None, 6.0)]
+    wide = reshape.to_wide(spark.createDataFrame(rows, "k long, name string, value double"), ["k"], "name", ["a", "b"], "value")
+    assert sorted(map(tuple, wide.collect()), key=str) == sorted([(1, 2.0, 3.0), (None, None, 4.0), (2, None, None), (3, None, None)], key=str)
+    capsys.readouterr()
+    wide.explain()
+    assert capsys.readouterr().out.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
