@@ -86,3 +86,23 @@ def test_search_scores_all_settings_of_several_reductions(spark):
             assert row.silhouette == pytest.approx(brute_silhouette(y, labels, 2)), row.params
             assert row.db_index == pytest.approx(brute_db(y[labels > 0], labels[labels > 0])), row.params
     assert scored > 20
+
+
+def test_scores_of_many_clusters_are_those_of_few_walked_row_by_row(spark, monkeypatch):
+    """Above SHORT clusters the points are dealt into parts; both ways give the brute-force scores."""
+    from stratapanel.operators import scores
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(240, 2))
+    many, few = rng.integers(0, 90, 240), rng.integers(0, 3, 240)
+    rows = [("many", float(a), float(b), int(c)) for (a, b), c in zip(x, many)] + [("few", float(a), float(b), int(c)) for (a, b), c in zip(x, few)]
+    df = spark.createDataFrame(rows, "config string, a double, b double, l int")
+    monkeypatch.setattr(scores, "PART", 50)
+    calls = []
+    dealt = scores._dealt
+    monkeypatch.setattr(scores, "_dealt", lambda *args: calls.append(1) or dealt(*args))
+    sil = {r.config: r.silhouette for r in scores.silhouette_squared(df, "l", ["a", "b"], ["config"]).collect()}
+    db = {r.config: r.db_index for r in scores.davies_bouldin(df, "l", ["a", "b"], ["config"]).collect()}
+    assert len(calls) == 2
+    for name, label in (("many", many), ("few", few)):
+        assert sil[name] == pytest.approx(brute_silhouette(x, label, 2)) and db[name] == pytest.approx(brute_db(x, label))
