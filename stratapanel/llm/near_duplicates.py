@@ -173,24 +173,26 @@ def _compare_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _pairs(a, b)
 
 
-def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The child nodes of documents: which minwise tokens are picked depends on the node alone."""
-    for batch in batches:
-        node = batch.column(0).to_numpy().view(np.uint64)
-        values = _signatures(pa.chunked_array([batch.column(2)])) if batch.num_rows else np.zeros((0, VALUES), np.uint16)
-        rows = np.arange(len(node))
-        first = (_mixed(node) % np.uint64(VALUES)).astype(np.int64)
-        step = 1 + (_mixed(node, 7) % np.uint64(VALUES - 1)).astype(np.int64)
-        children = [_mixed(node, branch, values[rows, (first + branch * step) % VALUES]).view(np.int64) for branch in range(BRANCHES)]
-        ids = batch.column(1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(children)), pa.concat_arrays([ids] * BRANCHES)], names=["node", "id"])
+def _children(node: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The child nodes of documents, one row each: which minwise tokens are picked depends on the node alone."""
+    node, rows = node.view(np.uint64), np.arange(len(node))
+    first = (_mixed(node) % np.uint64(VALUES)).astype(np.int64)
+    step = 1 + (_mixed(node, 7) % np.uint64(VALUES - 1)).astype(np.int64)
+    return np.stack([_mixed(node, branch, values[rows, (first + branch * step) % VALUES]).view(np.int64) for branch in range(BRANCHES)], axis=1)
+
+
+_AGREED = pa.schema([("node", pa.int64()), ("id", pa.int64()), ("least", pa.int64()), ("share", pa.float64()), ("children", pa.list_(pa.int64()))])
 
 
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How much of a document's signature agrees with that of its node's pivot."""
+    """How much of a document's signature agrees with that of its node's pivot, and where it goes if the node branches."""
     for batch in batches:
-        own, pivot = (_signatures(pa.chunked_array([batch.column(k)])) if batch.num_rows else np.zeros((0, VALUES), np.uint16) for k in (3, 4))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((own == pivot).mean(axis=1) if batch.num_rows else np.zeros(0))], names=["node", "id", "least", "share"])
+        if not batch.num_rows:
+            continue
+        own, pivot = (_signatures(pa.chunked_array([batch.column(k)])) for k in (3, 4))
+        children = _children(batch.column(0).to_numpy(), own)
+        lists = pa.ListArray.from_arrays(np.arange(0, children.size + 1, BRANCHES, dtype=np.int32), children.ravel())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((own == pivot).mean(axis=1)), lists], schema=_AGREED)
 
 
 class _Sets:
@@ -364,6 +366,12 @@ def _sorted_by(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key)
 
 
+def _with_signatures(entries: DataFrame, signatures: DataFrame) -> DataFrame:
+    """``id``, ``signature`` and the list ``entries`` of a document's nodes: a signature is looked up once for each document, not for each node."""
+    lists = entries.groupBy("id").agg(F.collect_list(F.struct(*(c for c in entries.columns if c != "id"))).alias("entries"))
+    return lists.join(signatures, "id").select("id", "signature", "entries")
+
+
 def candidate_pairs(classes: DataFrame) -> DataFrame:
     """Pairs ``a``, ``b`` of representatives that may be linked; together they connect whatever may be linked.
 
@@ -377,29 +385,31 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
         sizes = cut(sizes)
         few, many = sizes.filter(F.col("n") <= NODE), sizes.filter(F.col("n") > NODE)
         small.append(entries.join(few.select("node"), "node"))
-        if many.isEmpty():
+        n_many = many.count()
+        if not n_many:
             break
+        held = _with_signatures(entries.join(many.select("node", "least"), "node"), signatures if depth == 1 else signatures_below)
         if depth == 1:  # below, only documents of large nodes matter
-            held = entries.join(many.select("node"), "node").select("id").distinct()
-            signatures_below = cut(signatures.join(held, "id", "left_semi"))
+            held = cut(held)
+            signatures_below = held.select("id", "signature")
         pivots = many.select(F.col("least").alias("id")).distinct().join(signatures_below, "id").select(F.col("id").alias("least"), F.col("signature").alias("pivot"))
-        if many.count() <= BROADCAST_PIVOTS:
+        if n_many <= BROADCAST_PIVOTS:
             pivots = F.broadcast(pivots)
-        large = entries.join(many, "node").join(signatures_below, "id").join(pivots, "least")
-        agreed = cut(large.select("node", "id", "least", "signature", "pivot").mapInArrow(_agreement, "node bigint, id bigint, least bigint, share double"))
+        large = held.select("id", "signature", F.inline("entries")).join(pivots, "least")
+        agreed = cut(large.select("node", "id", "least", "signature", "pivot").mapInArrow(_agreement, "node bigint, id bigint, least bigint, share double, children array<bigint>"))
         alike = agreed.groupBy("node").agg(F.avg("share").alias("share"))
         done = alike.filter(F.col("share") >= (STOP if depth < DEPTH else 0.0)).select("node")
         pairs.append(agreed.join(done, "node").select(F.col("id").alias("a"), F.col("least").alias("b")))
         if depth == DEPTH:
             break
-        open_rows = agreed.join(alike.filter(F.col("share") < STOP).select("node"), "node").join(signatures_below, "id")
-        entries = cut(open_rows.select("node", "id", "signature").mapInArrow(_branch, "node bigint, id bigint"))
+        parted = alike.filter(F.col("share") < STOP).select("node")
+        entries = agreed.join(parted, "node").select(F.explode("children").alias("node"), "id")
     members = None
     for level in small:
         lists = level.groupBy("node").agg(F.sort_array(F.collect_set("id")).alias("members")).select("members")
         members = lists if members is None else members.unionAll(lists)
     nodes = members.distinct().select(F.xxhash64("members").alias("node"), F.explode("members").alias("id"))
-    compared = _sorted_by(nodes.join(signatures, "id").select("node", "id", "signature"), "node")
+    compared = _sorted_by(_with_signatures(nodes, signatures).select(F.inline("entries"), "id", "signature"), "node")
     pairs.append(compared.mapInArrow(_compare_nodes, "a bigint, b bigint"))
     out = pairs[0]
     for more in pairs[1:]:

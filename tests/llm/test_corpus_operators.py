@@ -210,6 +210,13 @@ def test_rows_of_large_families_grow_about_in_proportion(spark, monkeypatch):
     assert grouped[1] <= 3 * grouped[0]
 
 
+def test_signatures_are_looked_up_once_for_each_document(spark):
+    entries = spark.createDataFrame([(node, k, 7) for k in range(50) for node in range(12)], "node long, id long, least long")
+    signatures = spark.createDataFrame([(k, bytes([k])) for k in range(60)], "id long, signature binary")
+    held = near_duplicates._with_signatures(entries, signatures).collect()
+    assert sorted((r.id, r.signature, sorted(map(tuple, r.entries))) for r in held) == [(k, bytes([k]), [(node, 7) for node in range(12)]) for k in range(50)]
+
+
 @pytest.mark.parametrize("limit", [500_000, 40])
 def test_components(spark, monkeypatch, limit):
     monkeypatch.setattr(near_duplicates, "EDGES", limit)
