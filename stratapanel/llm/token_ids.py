@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,8 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers.models import Model
+from tokenizers.pre_tokenizers import ByteLevel
 
 from stratapanel.llm.common import arrow_schema, by_bytes, cut
 from stratapanel.llm.range_coder import BLOCK_IDS, decode_block, encode_block
@@ -30,8 +34,29 @@ _LENGTH = struct.Struct("<I")
 _TABLE = struct.Struct("<IIQ")
 
 
-#: By tokenizer, the ids of words met by this Python worker.
-_known: dict[str, dict[str, bytes]] = {}
+#: Texts of ASCII and Latin-1 letters alone, and the parts in which the tokenizers described below take them once in lower case.
+_OTHER = re.compile(r"[^\n !-~À-ÖØ-öø-ÿ]")
+_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:[stmd]|re|ve|ll)|[!-/:-@\[-`{-~]+")
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = ByteLevel(add_prefix_space=False, use_regex=False)
+_SPELLED = {code: _BYTES.pre_tokenize_str(chr(code))[0][0] for code in range(0xDF, 0x100)}
+
+
+class _PartIds(dict):
+    """The ids of parts by the model of a tokenizer; a part not met before is encoded on the way."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+
+    def __missing__(self, part: str) -> bytes:
+        spelled = part if part.isascii() else part.translate(_SPELLED)
+        self[part] = ids = array("I", [token.id for token in self.model.tokenize(spelled)]).tobytes()
+        return ids
+
+
+#: By tokenizer, the ids of words and of parts met by this Python worker.
+_known: dict[str, tuple[dict[str, bytes], _PartIds]] = {}
 
 
 class WordEncoder:
@@ -39,13 +64,30 @@ class WordEncoder:
 
     Valid for tokenizers that drop white space and never join what it parts: a text's ids are then those of its
     words in turn. Words are cut at spaces and line feeds only, everything else is left to the tokenizer.
+
+    Where the tokenizer's own description says that it lower-cases and then parts letters, digits and other characters,
+    texts in which that is plain are cut into these parts, and its model encodes each new part: they are fewer than
+    the words and pass no normalizer. Texts with other characters or special tokens go by words.
     """
 
     def __init__(self, path: str) -> None:
-        self.encode, self.known = tokenizer(path).encode_batch_fast, _known.setdefault(path, {})
-
-    def __call__(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        """The ids of each text, and the end id after them."""
+        loaded = tokenizer(path)
+        self.encode = loaded.encode_batch_fast
+        self.known, self.parts = _known.setdefault(path, ({}, _PartIds(loaded.model)))
+        self.special = [token.content.lower() for token in loaded.get_added_tokens_decoder().values()]
+        normalizer, splitter = (json.loads(x.__getstate__()) if x else {} for x in (loaded.normalizer, loaded.pre_tokenizer))
+        first, *rest = splitter.get("pretokenizers") or [None]
+        bytes_follow = [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in rest] == [("ByteLevel", False, False)]
+        self.by_parts = normalizer.get("normalizers") == _NORMALIZER and first == _SPLIT and bytes_follow
+
+    def _cut(self, text: str) -> list[str] | None:
+        """The parts of a text in lower case; none if it must go by words."""
+        if not self.by_parts or _OTHER.search(text):
+            return None
+        lower = text.lower()
+        return None if any(token in lower for token in self.special) else _PARTS.findall(lower)
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         known, fresh = self.known, set()
         split = [text.replace("\n", " ").split(" ") for text in texts]
         for words in split:
@@ -53,10 +95,19 @@ class WordEncoder:
         fresh = list(fresh)
         coded = [array("I", encoding.ids).tobytes() for encoding in self.encode(fresh, add_special_tokens=False)]
         known.update(zip(fresh, coded, strict=True))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+    def __call__(self, texts: list[str], end_id: int) -> list[np.ndarray]:
+        """The ids of each text, and the end id after them."""
+        before = len(self.known), len(self.parts)
+        coded = [None if parts is None else b"".join(map(self.parts.__getitem__, parts)) for parts in map(self._cut, texts)]
+        others = [text for text, ids in zip(texts, coded, strict=True) if ids is None]
+        by_words = iter(self._by_words(others) if others else ())
         end = array("I", [end_id]).tobytes()
-        out = [np.frombuffer(b"".join(map(known.__getitem__, words)) + end, np.uint32) for words in split]
-        for word in fresh if len(known) > CACHE_WORDS else ():  # the first words met are the frequent ones
-            del known[word]
+        out = [np.frombuffer((next(by_words) if ids is None else ids) + end, np.uint32) for ids in coded]
+        for known, n in zip((self.known, self.parts), before, strict=True):
+            for word in list(islice(known, n, None)) if len(known) > CACHE_WORDS else ():  # the first words met are the frequent ones
+                del known[word]
         return out
 
 

@@ -140,6 +140,22 @@ def test_words_have_the_ids_of_the_text(texts):
     assert [ids.tolist() for ids in encoder(texts, 2)] == [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abzAZÀéÿßØ \n'sStTrReEvVmMlLdD019!<|>_-.,`~@[{^\\]}*\"#$%&()+/:;=?", max_size=80), max_size=4))
+def test_parts_have_the_ids_of_the_text(texts):
+    encoder, plain = WordEncoder(WORD_BPE), token_counts.tokenizer(WORD_BPE)
+    assert encoder.by_parts and not WordEncoder(BYTE_BPE).by_parts
+    assert [ids.tolist() for ids in encoder(texts, 2)] == [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
+def test_plain_texts_meet_no_normalizer():
+    encoder = WordEncoder(WORD_BPE)
+    encoder.encode = None
+    words = [f"Zq{k}É'Ll, {k}-x" for k in range(500)]
+    found = encoder([" ".join(words).upper(), " ".join(words)], 2)
+    assert found[0].tolist() == found[1].tolist() == token_counts.tokenizer(WORD_BPE).encode(" ".join(words), add_special_tokens=False).ids + [2]
+
+
 # Quality rules
 
 
